@@ -1,0 +1 @@
+"""Empty: the job is one batch run over two stored tables and has no stream to read."""
