@@ -1,0 +1,54 @@
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from wattfold.functions import bytes_to_gib, iso_micros_text, parse_timestamp, seconds_text
+from wattfold.plans.report import run_stamp
+
+TIMES = [
+    datetime(2024, 3, 10, 2, 30),  # skipped in New York
+    datetime(2024, 11, 3, 1, 30, 0, 5),  # twice in New York
+    datetime(2024, 3, 30, 23, 45, 59, 999999),
+    datetime(1, 1, 1, 0, 0, 0, 120000),
+    datetime(1969, 12, 31, 23, 59, 59, 999000),
+]
+
+
+@pytest.fixture(params=["UTC", "America/New_York", "Asia/Seoul"])
+def zone(spark, request):
+    spark.conf.set("spark.sql.session.timeZone", request.param)
+    yield
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_texts_do_not_depend_on_the_zone(spark, zone):
+    df = spark.createDataFrame([(t,) for t in TIMES], "ts timestamp_ntz")
+    rows = df.select(seconds_text(F.col("ts")), iso_micros_text(F.col("ts"))).collect()
+    assert [r[0] for r in rows] == [t.isoformat(" ", "seconds") for t in TIMES]
+    assert [r[1] for r in rows] == [t.isoformat("T", "microseconds") for t in TIMES]
+
+
+def test_parsing_does_not_depend_on_the_zone(spark, zone):
+    df = spark.createDataFrame([("2024-03-10 02:30:00",), (None,)], "t string")
+    rows = df.select(parse_timestamp(F.col("t")).alias("ts")).collect()
+    assert [r.ts for r in rows] == [datetime(2024, 3, 10, 2, 30), None]
+
+
+def test_run_stamp(spark, zone):
+    stamps = [datetime(2025, 7, 9, 23, 9, 19, 679137), datetime(2024, 3, 10, 2, 30)]
+    row = spark.range(1).select(*(run_stamp(t) for t in stamps)).first()
+    assert list(row) == ["2025-07-09T23:09:19.679137", "2024-03-10T02:30:00.000000"]
+
+
+def test_run_stamp_has_no_zone():
+    from datetime import timezone
+
+    with pytest.raises(ValueError, match="time zone"):
+        run_stamp(datetime(2025, 1, 1, tzinfo=timezone.utc))
+
+
+def test_published_sizes_digit_for_digit(spark):
+    df = spark.createDataFrame([(3_583_412,), (362_197,)], "n bigint")
+    sizes = [r[0] for r in df.select(bytes_to_gib(F.col("n"))).collect()]
+    assert sizes == [0.003337312489748001, 0.00033732224255800247]

@@ -1,6 +1,8 @@
 """Whole results: the sections of the report and the job that makes them."""
 
 from wattfold.plans.report import (
+    CSV_FILE,
+    PARQUET_FILE,
     build_report,
     customer_summary,
     file_info,
@@ -12,6 +14,8 @@ from wattfold.plans.report import (
 )
 
 __all__ = [
+    "CSV_FILE",
+    "PARQUET_FILE",
     "build_report",
     "customer_summary",
     "file_info",
