@@ -1,4 +1,5 @@
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
 import pytest
 
@@ -21,6 +22,7 @@ ONE_LINE_ROWS = [
     ("", NOON, 1.0, "null"),
     (None, NOON, 2.0, 'x"y"'),
 ]
+ODD_CHARACTERS = "aN0#-'\",\\ \t\x01\x1f\x85\xa0\u2028\ufeff‖상é😀"
 ROWS_WITH_BREAKS = [("h", NOON, 1.0, "line\nbreak"), ("i", NOON, 1.0, "cr\rx\r\ny")]
 
 
@@ -39,6 +41,24 @@ def test_nothing_changes_on_the_way(spark, tmp_path, rows, multi_line):
     assert by_text(back.collect()) == by_text(rows)
 
 
+def test_random_texts(spark, tmp_path):
+    draw = random.Random(7)
+
+    def text():
+        n = draw.randrange(-1, 5)
+        return None if n < 0 else "".join(draw.choices(ODD_CHARACTERS, k=n))
+
+    def row():
+        ts = datetime(1900, 1, 1) + timedelta(microseconds=draw.randrange(10**16))
+        power = draw.choice([None, draw.random() * 10.0 ** draw.randrange(-300, 300)])
+        return text(), ts, power, text()
+
+    rows = [row() for _ in range(5000)]
+    path = str(tmp_path / "t.csv")
+    write_csv_bom(spark.createDataFrame(rows, SCHEMA), path)
+    assert by_text(read_csv(spark, path, SCHEMA).collect()) == by_text(rows)
+
+
 def test_every_part_has_its_mark_and_header(spark, hour_readings, tmp_path):
     path = tmp_path / "t.csv"
     write_csv_bom(hour_readings.repartition(3), str(path))
@@ -51,6 +71,19 @@ def test_every_part_has_its_mark_and_header(spark, hour_readings, tmp_path):
         assert text.decode("utf-8-sig").startswith("customer_id,")
 
 
+def test_timestamps_have_the_digits_they_need(spark, tmp_path):
+    df = spark.sql(
+        "SELECT timestamp_ntz'2024-03-01 00:15:00' AS `t.a`,"
+        " timestamp_ntz'2024-03-10 02:30:00.000500' AS `b``c`"
+    )
+    write_csv_bom(df, str(tmp_path / "t.csv"))
+    (part,) = (tmp_path / "t.csv").glob("part-*")
+    assert part.read_text("utf-8-sig") == (
+        "t.a,b`c\n2024-03-01 00:15:00,2024-03-10 02:30:00.0005\n"
+    )
+    assert read_csv(spark, str(tmp_path / "t.csv"), df.schema).first() == df.first()
+
+
 def test_line_breaks_need_multi_line(spark, tmp_path):
     path = str(tmp_path / "t.csv")
     write_csv_bom(spark.createDataFrame(ROWS_WITH_BREAKS, SCHEMA), path)

@@ -1,0 +1,34 @@
+from tests import golden
+from wattfold.job import main
+from wattfold.sinks import write_csv_bom, write_parquet
+from wattfold.sources import read_report
+
+
+def test_parquet_input(spark, customers, readings, tmp_path):
+    write_parquet(customers, str(tmp_path / "c"))
+    write_parquet(readings.where("customer_id < 'C005'"), str(tmp_path / "lp1"))
+    write_parquet(readings.where("customer_id >= 'C005'"), str(tmp_path / "lp2"))
+    lp = [str(tmp_path / "lp1"), str(tmp_path / "lp2")]
+    out = str(tmp_path / "out")
+    main(["--customers", str(tmp_path / "c"), "--lp", *lp, "--out", out])
+    report = read_report(spark, f"{out}/report.json").first()
+    assert report.customer_summary.contract_types == golden.CONTRACT_TYPES
+    assert report.lp_data_summary.total_records == golden.READINGS
+    assert report.processed_lp_data.total_customers == golden.METERED_CUSTOMERS
+    assert report.processed_lp_data.processed_timestamp == report.metadata.timestamp
+
+
+def test_csv_input_with_more_columns(spark, customers, hour_readings, tmp_path):
+    write_csv_bom(customers, str(tmp_path / "c"))
+    write_csv_bom(hour_readings, str(tmp_path / "lp"))
+    out = str(tmp_path / "out")
+    schema = "customer_id string, ts timestamp_ntz, power double, note string"
+    args = ["--customers", str(tmp_path / "c"), "--lp", str(tmp_path / "lp"), "--out", out]
+    main([*args, "--format", "csv", "--lp-schema", schema])
+    report = read_report(spark, f"{out}/report.json").first()
+    assert tuple(report.lp_data_summary.date_range) == (
+        "2024-01-01 00:00:00",
+        "2024-01-02 05:00:00",
+    )
+    written = spark.read.schema(schema).parquet(f"{out}/processed_lp_data.parquet")
+    assert sorted(written.collect()) == sorted(hour_readings.collect())

@@ -1,18 +1,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 BYTE_ORDER_MARK = "\ufeff"
 
 # Spark's defaults would cut fractions to milliseconds, trim blanks off values and
-# write a quote inside a value as \" instead of "".
+# write a quote inside a value as \" instead of "". Zone-less timestamps are cast to
+# text, which has as many fraction digits as the value needs and mostly none.
 CSV_WRITE_OPTIONS = {
     "header": "true",
     "encoding": "UTF-8",
     "escape": '"',
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
-    "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
     "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSSXXX",
 }
 
@@ -29,10 +31,24 @@ def write_csv_bom(df: DataFrame, path: str, mode: str = "overwrite", **options:
     first, *rest = df.columns
     if set(first) & set(',"\r\n'):
         raise ValueError(f"header name would be quoted, in front of its mark: {first!r}")
-    marked = df.toDF(BYTE_ORDER_MARK + first, *rest)
+    marked = _plain_timestamps(df).toDF(BYTE_ORDER_MARK + first, *rest)
     marked.write.mode(mode).options(**{**CSV_WRITE_OPTIONS, **options}).csv(path)
 
 
+def _plain_timestamps(df: DataFrame) -> DataFrame:
+    columns = {f.name: F.col(_quoted(f.name)) for f in df.schema}
+    texts = {
+        f.name: columns[f.name].cast("string")
+        for f in df.schema
+        if isinstance(f.dataType, TimestampNTZType)
+    }
+    return df.select(*(c.alias(name) for name, c in {**columns, **texts}.items()))
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def write_report(report: DataFrame, path: str, mode: str = "overwrite") -> None:
     """The one-row report as JSON, non-ASCII text as it is, null fields included."""
     report.coalesce(1).write.mode(mode).option("ignoreNullFields", "false").json(path)

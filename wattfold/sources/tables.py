@@ -62,6 +62,7 @@ def read_csv(
     """CSV as ``write_csv_bom`` writes it; the byte-order mark is not part of the data.
 
     Values with line breaks need ``multiLine="true"``, which makes one task per file.
+    The CSV parser drops NUL characters; all other text comes back as it was.
     """
     return _read(spark, path, "csv", schema, options)
 
