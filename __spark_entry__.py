@@ -63,14 +63,16 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumn("avg_power", F.round("avg_power", 6))
 
 
+def _write(lp: DataFrame, fmt: str) -> str:
+    path = f"{scratch_dir(lp.sparkSession)}/lp.{fmt}"
+    {"csv": write_csv_bom, "parquet": write_parquet}[fmt](lp, path)
+    return path
+
+
 def _written(lp: DataFrame, fmt: str) -> DataFrame:
     """The readings, written in a format and read again."""
-    path = f"{scratch_dir(lp.sparkSession)}/lp.{fmt}"
-    if fmt == "csv":
-        write_csv_bom(lp, path)
-        return read_csv(lp.sparkSession, path, lp.schema)
-    write_parquet(lp, path)
-    return read_lp(lp.sparkSession, path, schema=lp.schema)
+    read = {"csv": read_csv, "parquet": read_lp}[fmt]
+    return read(lp.sparkSession, _write(lp, fmt), schema=lp.schema)
 
 
 def _rows(lp: DataFrame) -> DataFrame:
@@ -95,27 +97,41 @@ def _customer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _file_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scratch_dir(spark)
-    plans.write_processed(_lp(spark, sf_dir), out)
-    return plans.file_info(spark, f"{out}/{plans.CSV_FILE}", f"{out}/{plans.PARQUET_FILE}")
-
-
 def _csv_file_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _file_info(spark, sf_dir).select("csv_file", "csv_size_gb", "encoding")
+    size = ops.dataset_size_gib(spark, _write(_lp(spark, sf_dir), "csv"))
+    return size.select(
+        F.lit(plans.CSV_FILE).alias("csv_file"),
+        F.col("size_gib").alias("csv_size_gb"),
+        F.lit(plans.ENCODING).alias("encoding"),
+    )
 
 
 def _parquet_file_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _file_info(spark, sf_dir).select(
-        "parquet_file", "parquet_size_gb", "parquet_available"
+    path = _write(_lp(spark, sf_dir), "parquet")
+    return ops.dataset_size_gib(spark, path).select(
+        F.lit(plans.PARQUET_FILE).alias("parquet_file"),
+        F.col("size_gib").alias("parquet_size_gb"),
+        F.lit(ops.dataset_available(spark, path)).alias("parquet_available"),
+    )
+
+
+def _csv_data_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of the CSV without the mark and header that each part file starts with."""
+    lp = _lp(spark, sf_dir)
+    header = len(",".join(lp.columns).encode("utf-8-sig") + b"\n")
+    n_bytes = F.col("n_bytes") - F.col("n_files") * header
+    return ops.dataset_size_gib(spark, _write(lp, "csv")).select(
+        n_bytes.alias("data_bytes"), C.bytes_to_gib(n_bytes).alias("data_gib")
     )
 
 
 def _run_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = ops.customer_total(_customers(spark, sf_dir)).select("distinct_customers")
-    readings = ops.lp_total(_lp(spark, sf_dir))
-    metadata = plans.run_metadata(RUN_TS, customers.scalar(), F.col("total_records"))
-    return readings.select(metadata.alias("metadata")).select("metadata.*")
+    totals = ops.side_by_side(
+        ops.distinct_count(_customers(spark, sf_dir), "customer_id", "customers"),
+        ops.lp_total(_lp(spark, sf_dir)),
+    )
+    metadata = plans.run_metadata(RUN_TS, F.col("customers"), F.col("total_records"))
+    return totals.select(metadata.alias("metadata")).select("metadata.*")
 
 
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,6 +239,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "csv_roundtrip_rows": lambda s, d: _rows(_written(_lp(s, d), "csv")),
         "csv_file_info": _csv_file_info,
         "parquet_file_info": _parquet_file_info,
+        "csv_data_size": _csv_data_size,
         "run_metadata": _run_metadata,
         "report_json": _report_json,
         "report_fields": _report_fields,
@@ -261,6 +278,18 @@ _EVENT_ROWS = (
 )
 
 
+# A CSV line: four plain fields, two texts that are quoted if they hold a quote, commas
+# and a line feed.
+_CSV_LINE = " + ".join(
+    [f"strlen(CAST({c} AS VARCHAR))" for c in ("event_id", "ts", "user_id", "value")]
+    + [
+        f"strlen(replace({c}, '\"', '\"\"')) + 2 * CAST(contains({c}, '\"') AS INTEGER)"
+        for c in ("event_type", "props")
+    ]
+    + ["6"]
+)
+
+
 def _long_sql() -> str:
     text = "CAST({} AS VARCHAR)"
     master = text.format("count(DISTINCT c_custkey)")
@@ -316,6 +345,9 @@ def oracle_sql() -> dict[str, str]:
         "csv_roundtrip_summary": _LP_SUMMARY,
         "parquet_roundtrip_rows": _EVENT_ROWS,
         "csv_roundtrip_rows": _EVENT_ROWS,
+        "csv_data_size": "SELECT n AS data_bytes, "
+        "CAST(n AS DOUBLE) / CAST(1073741824 AS DOUBLE) AS data_gib "
+        f"FROM (SELECT CAST(sum({_CSV_LINE}) AS BIGINT) AS n FROM events)",
         "run_metadata": f"SELECT '{_STAMP}' AS timestamp, "
         "'step1_preprocessing_optimized' AS analysis_stage, '2.0' AS version, "
         f"{customers} AS total_customers, count(*) AS total_lp_records FROM events",

@@ -1,5 +1,9 @@
+from concurrent.futures import ThreadPoolExecutor
+
 from tests import golden
+from tests.conftest import RUN_TS
 from wattfold.job import main
+from wattfold.plans import build_report
 from wattfold.sinks import write_csv_bom, write_parquet
 from wattfold.sources import read_report
 
@@ -32,3 +36,14 @@ def test_csv_input_with_more_columns(spark, customers, hour_readings, tmp_path):
     )
     written = spark.read.schema(schema).parquet(f"{out}/processed_lp_data.parquet")
     assert sorted(written.collect()) == sorted(hour_readings.collect())
+
+
+def test_many_reports_in_one_session(spark, customers, hour_readings, tmp_path):
+    """More at a time than Spark has threads for subqueries."""
+
+    def report(i):
+        return build_report(customers, hour_readings, str(tmp_path / str(i)), RUN_TS).first()
+
+    with ThreadPoolExecutor(20) as pool:
+        counts = {r.metadata.total_lp_records for r in pool.map(report, range(20), timeout=300)}
+    assert counts == {30}

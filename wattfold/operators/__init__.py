@@ -1,5 +1,6 @@
 """Operators: DataFrame in, DataFrame out, nothing collected."""
 
+from wattfold.operators.combine import side_by_side
 from wattfold.operators.storage import dataset_available, dataset_size_gib
 from wattfold.operators.summaries import (
     category_counts,
@@ -23,4 +24,5 @@ __all__ = [
     "lp_range",
     "lp_summary",
     "lp_total",
+    "side_by_side",
 ]

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattfold.functions import ordered_count_map, seconds_text
+from wattfold.operators.combine import side_by_side
 
 # More labels than this are no code table. They stay available as rows.
 MAX_MAP_LABELS = 100_000
@@ -53,7 +54,7 @@ def customer_total(df: DataFrame) -> DataFrame:
 
 def lp_total(df: DataFrame) -> DataFrame:
     """One row: readings and distinct customers."""
-    return _with_customers(df, df.agg(*_totals()), ["total_records", "total_customers"])
+    return side_by_side(df.agg(*_totals()), _customers(df))
 
 
 def lp_range(df: DataFrame) -> DataFrame:
@@ -80,7 +81,7 @@ def lp_summary(df: DataFrame, with_average: bool = True, one_scan: bool = False)
     if one_scan:
         distinct = F.count_distinct("customer_id").alias("total_customers")
         return df.agg(*measures, distinct).select(*names)
-    return _with_customers(df, df.agg(*measures), names)
+    return side_by_side(df.agg(*measures), _customers(df)).select(*names)
 
 
 def _totals() -> list[Column]:
@@ -98,6 +99,5 @@ def _average() -> list[Column]:
     return [F.avg("power").cast("double").alias("avg_power")]
 
 
-def _with_customers(df: DataFrame, one_row: DataFrame, names: list[str]) -> DataFrame:
-    customers = distinct_count(df, "customer_id", "total_customers")
-    return one_row.withColumn("total_customers", customers.scalar()).select(*names)
+def _customers(df: DataFrame) -> DataFrame:
+    return distinct_count(df, "customer_id", "total_customers")

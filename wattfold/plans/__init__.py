@@ -2,6 +2,7 @@
 
 from wattfold.plans.report import (
     CSV_FILE,
+    ENCODING,
     PARQUET_FILE,
     build_report,
     customer_summary,
@@ -15,6 +16,7 @@ from wattfold.plans.report import (
 
 __all__ = [
     "CSV_FILE",
+    "ENCODING",
     "PARQUET_FILE",
     "build_report",
     "customer_summary",

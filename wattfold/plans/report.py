@@ -14,6 +14,7 @@ from wattfold.operators import (
     dataset_size_gib,
     distinct_count,
     lp_summary,
+    side_by_side,
 )
 from wattfold.sinks import write_csv_bom, write_parquet
 
@@ -37,10 +38,10 @@ def customer_summary(customers: DataFrame) -> DataFrame:
 
     Each part scans one column of the master.
     """
-    return distinct_count(customers, "customer_id", "total_customers").select(
-        "total_customers",
-        _scalar(customers, category_map, "contract_type").alias("contract_types"),
-        _scalar(customers, category_map, "usage_type").alias("usage_types"),
+    return side_by_side(
+        distinct_count(customers, "customer_id", "total_customers"),
+        category_map(customers, "contract_type", "contract_types"),
+        category_map(customers, "usage_type", "usage_types"),
     )
 
 
@@ -66,16 +67,17 @@ def write_processed(lp: DataFrame, out_dir: str) -> DataFrame:
 def file_info(spark: SparkSession, csv_path: str, parquet_path: str) -> DataFrame:
     """One row: names, sizes and encoding of the two outputs."""
     available = dataset_available(spark, parquet_path)
-    parquet_size = (
-        dataset_size_gib(spark, parquet_path).select("size_gib").scalar()
-        if available
-        else F.lit(None).cast("double")
-    )
-    return dataset_size_gib(spark, csv_path).select(
+    sizes = [_size(spark, csv_path, "csv_size_gb")]
+    if available:
+        sizes.append(_size(spark, parquet_path, "parquet_size_gb"))
+        parquet_size = F.col("parquet_size_gb")
+    else:
+        parquet_size = F.lit(None).cast("double").alias("parquet_size_gb")
+    return side_by_side(*sizes).select(
         F.lit(_last_part(csv_path)).alias("csv_file"),
-        F.col("size_gib").alias("csv_size_gb"),
+        "csv_size_gb",
         F.lit(_last_part(parquet_path)).alias("parquet_file"),
-        parquet_size.alias("parquet_size_gb"),
+        parquet_size,
         F.lit(available).alias("parquet_available"),
         F.lit(ENCODING).alias("encoding"),
     )
@@ -86,11 +88,13 @@ def processed_summary(
 ) -> DataFrame:
     """One row: the section on the written readings. It has no mean."""
     files = file_info(processed.sparkSession, csv_path, parquet_path)
-    return lp_summary(processed, with_average=False).select(
+    return side_by_side(
+        lp_summary(processed, with_average=False), _section(files, "file_info")
+    ).select(
         "total_records",
         "total_customers",
         _date_range(),
-        files.select(F.struct("*")).scalar().alias("file_info"),
+        "file_info",
         run_stamp(run_ts).alias("processed_timestamp"),
     )
 
@@ -121,17 +125,16 @@ def build_report(
 ) -> DataFrame:
     """Writes the processed readings under ``out_dir`` and returns the report's one row.
 
-    The sections are scalar subqueries of each other's rows: Spark runs them side by
-    side, and there is no join. ``one_scan`` is passed to the summary of the source.
+    ``one_scan`` is passed to the summary of the source.
     """
     processed = write_processed(lp, out_dir)
     written = processed_summary(
         processed, f"{out_dir}/{CSV_FILE}", f"{out_dir}/{PARQUET_FILE}", run_ts
     )
-    sections = lp_data_summary(lp, one_scan).select(
-        customer_summary(customers).select(F.struct("*")).scalar().alias("customer_summary"),
-        F.struct("*").alias("lp_data_summary"),
-        written.select(F.struct("*")).scalar().alias("processed_lp_data"),
+    sections = side_by_side(
+        _section(customer_summary(customers), "customer_summary"),
+        _section(lp_data_summary(lp, one_scan), "lp_data_summary"),
+        _section(written, "processed_lp_data"),
     )
     return sections.withColumn(
         "metadata",
@@ -197,8 +200,12 @@ def _long_counts(df: DataFrame, column: str, section: str) -> DataFrame:
     )
 
 
-def _scalar(df: DataFrame, one_value, column: str) -> Column:
-    return one_value(df, column, column).scalar()
+def _section(one_row: DataFrame, name: str) -> DataFrame:
+    return one_row.select(F.struct("*").alias(name))
+
+
+def _size(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return dataset_size_gib(spark, path).select(F.col("size_gib").alias(name))
 
 
 def _date_range() -> Column:
