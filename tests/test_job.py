@@ -4,7 +4,7 @@ from tests import golden
 from tests.conftest import RUN_TS
 from wattfold.job import main
 from wattfold.plans import build_report
-from wattfold.sinks import write_csv_bom, write_parquet
+from wattfold.sinks import write_csv_bom, write_parquet, write_report
 from wattfold.sources import read_report
 
 
@@ -38,6 +38,19 @@ def test_csv_input_with_more_columns(spark, customers, hour_readings, tmp_path):
     assert sorted(written.collect()) == sorted(hour_readings.collect())
 
 
+def test_no_readings_and_no_customers(spark, customers, readings, tmp_path):
+    out = str(tmp_path / "out")
+    nobody, nothing = customers.where("false"), readings.where("false")
+    write_report(build_report(nobody, nothing, out, RUN_TS), f"{out}/report.json")
+    report = read_report(spark, f"{out}/report.json").first()
+    assert tuple(report.customer_summary) == (0, {}, {})
+    assert tuple(report.lp_data_summary) == (0, 0, (None, None), None)
+    assert tuple(report.processed_lp_data)[:3] == (0, 0, (None, None))
+    assert report.processed_lp_data.file_info.parquet_available is True
+    (part,) = (tmp_path / "out" / "report.json").glob("part-*")
+    assert '"avg_power":null' in part.read_text("utf-8")
+
+
 def test_many_reports_in_one_session(spark, customers, hour_readings, tmp_path):
     """More at a time than Spark has threads for subqueries."""
 

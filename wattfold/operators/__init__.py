@@ -7,6 +7,7 @@ from wattfold.operators.summaries import (
     category_map,
     customer_total,
     distinct_count,
+    label_counts,
     lp_average,
     lp_range,
     lp_summary,
@@ -20,6 +21,7 @@ __all__ = [
     "dataset_available",
     "dataset_size_gib",
     "distinct_count",
+    "label_counts",
     "lp_average",
     "lp_range",
     "lp_summary",

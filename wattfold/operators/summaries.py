@@ -19,13 +19,14 @@ def distinct_count(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.select(column).distinct().agg(F.count(column).alias(name))
 
 
+def label_counts(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Rows per label, in no order. Each task counts before the shuffle."""
+    return df.groupBy(column).agg(F.count(F.lit(1)).alias(name))
+
+
 def category_counts(df: DataFrame, column: str, name: str = "n_customers") -> DataFrame:
     """Rows per label, largest first, ties by label."""
-    return (
-        df.groupBy(column)
-        .agg(F.count(F.lit(1)).alias(name))
-        .orderBy(F.desc(name), F.asc(column))
-    )
+    return label_counts(df, column, name).orderBy(F.desc(name), F.asc(column))
 
 
 def category_map(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -34,7 +35,7 @@ def category_map(df: DataFrame, column: str, name: str) -> DataFrame:
     A map sits in one row, so the labels are counted before they are gathered and too
     many of them stop the query. ``category_counts`` has no such bound.
     """
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    counts = label_counts(df, column, "n")
     # Looking at n keeps both aggregates the same, so Spark shuffles only once.
     n_labels = counts.agg(F.count_if(F.col("n") > 0).alias("n_labels"))
     too_many = F.raise_error(

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from wattfold.functions import iso_micros_text
 from wattfold.operators import (
-    category_counts,
     category_map,
     dataset_available,
     dataset_size_gib,
     distinct_count,
+    label_counts,
     lp_summary,
     side_by_side,
 )
@@ -26,6 +26,15 @@ ANALYSIS_STAGE = "step1_preprocessing_optimized"
 VERSION = "2.0"
 
 
+# Keys of the long report and the summary columns they show.
+_COUNTS_AND_DATES = {
+    "total_records": "total_records",
+    "total_customers": "total_customers",
+    "date_range.start": "start_ts",
+    "date_range.end": "end_ts",
+}
+
+
 def run_stamp(run_ts: datetime) -> Column:
     """The run's one timestamp as text. It is a parameter, so all sections agree on it."""
     if run_ts.tzinfo is not None:
@@ -55,8 +64,8 @@ def lp_data_summary(lp: DataFrame, one_scan: bool = False) -> DataFrame:
 def write_processed(lp: DataFrame, out_dir: str) -> DataFrame:
     """Writes the readings as Parquet and as CSV; returns what the Parquet holds.
 
-    The CSV is made from the written Parquet: the source is read once, and both
-    outputs hold the same rows whatever the source does meanwhile.
+    The CSV is made from the written Parquet: the two need one read of the source, and
+    they hold the same rows whatever the source does meanwhile.
     """
     write_parquet(lp, f"{out_dir}/{PARQUET_FILE}")
     processed = lp.sparkSession.read.schema(lp.schema).parquet(f"{out_dir}/{PARQUET_FILE}")
@@ -171,14 +180,6 @@ def report_long(customers: DataFrame, lp: DataFrame, processed: DataFrame) -> Da
     return reduce(DataFrame.unionByName, parts)
 
 
-_COUNTS_AND_DATES = {
-    "total_records": "total_records",
-    "total_customers": "total_customers",
-    "date_range.start": "start_ts",
-    "date_range.end": "end_ts",
-}
-
-
 def _long(one_row: DataFrame, **sections: dict[str, str | Column]) -> DataFrame:
     rows = [
         F.struct(
@@ -193,7 +194,7 @@ def _long(one_row: DataFrame, **sections: dict[str, str | Column]) -> DataFrame:
 
 
 def _long_counts(df: DataFrame, column: str, section: str) -> DataFrame:
-    return category_counts(df, column, "n").select(
+    return label_counts(df, column, "n").select(
         F.lit(section).alias("section"),
         F.col(column).cast("string").alias("key"),
         F.col("n").cast("string").alias("value"),
