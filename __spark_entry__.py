@@ -107,11 +107,11 @@ def _csv_file_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parquet_file_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _write(_lp(spark, sf_dir), "parquet")
-    return ops.dataset_size_gib(spark, path).select(
+    state = ops.dataset_state(spark, _write(_lp(spark, sf_dir), "parquet"))
+    return state.select(
         F.lit(plans.PARQUET_FILE).alias("parquet_file"),
         F.col("size_gib").alias("parquet_size_gb"),
-        F.lit(ops.dataset_available(spark, path)).alias("parquet_available"),
+        F.col("available").alias("parquet_available"),
     )
 
 

@@ -2,7 +2,7 @@ import pytest
 from pyspark.errors import AnalysisException
 
 from wattfold import scratch
-from wattfold.operators import dataset_available, dataset_size_gib
+from wattfold.operators import dataset_available, dataset_size_gib, dataset_state
 from wattfold.plans import file_info
 from wattfold.sinks import write_csv_bom, write_parquet
 
@@ -26,11 +26,13 @@ def test_size_of_a_partitioned_dataset(spark, hour_readings, tmp_path):
 def test_available(spark, hour_readings, tmp_path):
     path = tmp_path / "t.parquet"
     assert dataset_available(spark, str(path)) is False
+    assert tuple(dataset_state(spark, str(path)).first()) == (False, None)
     path.mkdir()
     assert dataset_available(spark, str(path)) is False
-    assert dataset_size_gib(spark, str(path)).first().size_gib == 0.0
+    assert tuple(dataset_state(spark, str(path)).first()) == (False, 0.0)
     write_parquet(hour_readings.where("false"), str(path))
     assert dataset_available(spark, str(path)) is True
+    assert dataset_state(spark, str(path)).first().available is True
 
 
 def test_size_of_a_missing_dataset_is_an_error(spark, tmp_path):

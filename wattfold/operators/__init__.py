@@ -1,7 +1,7 @@
 """Operators: DataFrame in, DataFrame out, nothing collected."""
 
 from wattfold.operators.combine import side_by_side
-from wattfold.operators.storage import dataset_available, dataset_size_gib
+from wattfold.operators.storage import dataset_available, dataset_size_gib, dataset_state
 from wattfold.operators.summaries import (
     category_counts,
     category_map,
@@ -20,6 +20,7 @@ __all__ = [
     "customer_total",
     "dataset_available",
     "dataset_size_gib",
+    "dataset_state",
     "distinct_count",
     "label_counts",
     "lp_average",

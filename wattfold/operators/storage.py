@@ -29,11 +29,29 @@ def dataset_size_gib(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def dataset_state(spark: SparkSession, path: str) -> DataFrame:
+    """One row: whether the dataset is available, and its size, null where nothing is.
+
+    One listing answers both, and no job runs before the row is asked for.
+    """
+    try:
+        sizes = dataset_size_gib(spark, path)
+    except AnalysisException as e:
+        if not _is_missing(e):
+            raise
+        return spark.sql("SELECT false AS available, CAST(NULL AS DOUBLE) AS size_gib")
+    return sizes.select((F.col("n_files") > 0).alias("available"), "size_gib")
+
+
 def dataset_available(spark: SparkSession, path: str) -> bool:
     """Whether the dataset exists and holds at least one part file."""
     try:
         return not _part_files(spark, path).isEmpty()
     except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
+        if not _is_missing(e):
+            raise
+        return False
+
+
+def _is_missing(e: AnalysisException) -> bool:
+    return e.getCondition() == "PATH_NOT_FOUND"

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from wattfold.functions import iso_micros_text
 from wattfold.operators import (
     category_map,
-    dataset_available,
     dataset_size_gib,
+    dataset_state,
     distinct_count,
     label_counts,
     lp_summary,
@@ -75,19 +75,14 @@ def write_processed(lp: DataFrame, out_dir: str) -> DataFrame:
 
 def file_info(spark: SparkSession, csv_path: str, parquet_path: str) -> DataFrame:
     """One row: names, sizes and encoding of the two outputs."""
-    available = dataset_available(spark, parquet_path)
-    sizes = [_size(spark, csv_path, "csv_size_gb")]
-    if available:
-        sizes.append(_size(spark, parquet_path, "parquet_size_gb"))
-        parquet_size = F.col("parquet_size_gb")
-    else:
-        parquet_size = F.lit(None).cast("double").alias("parquet_size_gb")
-    return side_by_side(*sizes).select(
+    csv = dataset_size_gib(spark, csv_path).select(F.col("size_gib").alias("csv_size_gb"))
+    parquet = dataset_state(spark, parquet_path)
+    return side_by_side(csv, parquet).select(
         F.lit(_last_part(csv_path)).alias("csv_file"),
         "csv_size_gb",
         F.lit(_last_part(parquet_path)).alias("parquet_file"),
-        parquet_size,
-        F.lit(available).alias("parquet_available"),
+        F.col("size_gib").alias("parquet_size_gb"),
+        F.col("available").alias("parquet_available"),
         F.lit(ENCODING).alias("encoding"),
     )
 
@@ -205,10 +200,6 @@ def _section(one_row: DataFrame, name: str) -> DataFrame:
     return one_row.select(F.struct("*").alias(name))
 
 
-def _size(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return dataset_size_gib(spark, path).select(F.col("size_gib").alias(name))
-
-
 def _date_range() -> Column:
     return F.struct(F.col("start_ts").alias("start"), F.col("end_ts").alias("end")).alias(
         "date_range"
