@@ -75,9 +75,12 @@ def test_missing_power_is_left_out_of_the_mean(spark, one_scan):
     assert tuple(lp_average(df).first()) == want[4:]
 
 
-def test_decimal_power_gives_a_double_mean(readings):
+@pytest.mark.parametrize("one_scan", [False, True])
+def test_decimal_power_gives_an_exact_mean(readings, one_scan):
     df = readings.withColumn("power", F.col("power").cast("decimal(10,1)"))
-    assert lp_summary(df).schema["avg_power"].dataType.typeName() == "double"
+    for n in (1, 3, 8):
+        mean = lp_summary(df.repartition(n), one_scan=one_scan).first().avg_power
+        assert mean == 3090748.2 / 57_600
 
 
 def test_one_customer_with_most_readings(spark):

@@ -97,7 +97,9 @@ def _range() -> list[Column]:
 
 
 def _average() -> list[Column]:
-    return [F.avg("power").cast("double").alias("avg_power")]
+    # For a decimal power, avg() would round to a few digits; the sum is exact.
+    total = F.sum("power").cast("double")
+    return [F.try_divide(total, F.count("power")).alias("avg_power")]
 
 
 def _customers(df: DataFrame) -> DataFrame:
