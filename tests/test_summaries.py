@@ -36,6 +36,10 @@ def test_missing_label(spark):
     assert category_map(df, "k", "m").first().m == {"null": 2, "a": 1}
 
 
+def test_a_label_column_called_n(spark):
+    assert category_map(labels(spark, "aab").toDF("n"), "n", "n").first().n == {"a": 2, "b": 1}
+
+
 def test_no_customers_give_an_empty_map(spark):
     assert category_map(labels(spark, []), "k", "m").first().m == {}
 

@@ -35,14 +35,15 @@ def category_map(df: DataFrame, column: str, name: str) -> DataFrame:
     A map sits in one row, so the labels are counted before they are gathered and too
     many of them stop the query. ``category_counts`` has no such bound.
     """
-    counts = label_counts(df, column, "n")
+    n = f"n_{column}"
+    counts = label_counts(df, column, n)
     # Looking at n keeps both aggregates the same, so Spark shuffles only once.
-    n_labels = counts.agg(F.count_if(F.col("n") > 0).alias("n_labels"))
+    n_labels = counts.agg(F.count_if(F.col(n) > 0).alias("n_labels"))
     too_many = F.raise_error(
         F.lit(f"{column} has over {MAX_MAP_LABELS} labels; use category_counts")
     ).cast("boolean")
     fits = F.when(n_labels.scalar() <= MAX_MAP_LABELS, F.lit(True)).otherwise(too_many)
-    return counts.where(fits).agg(ordered_count_map(F.col(column), F.col("n")).alias(name))
+    return counts.where(fits).agg(ordered_count_map(F.col(column), F.col(n)).alias(name))
 
 
 def customer_total(df: DataFrame) -> DataFrame:

@@ -189,10 +189,10 @@ def _long(one_row: DataFrame, **sections: dict[str, str | Column]) -> DataFrame:
 
 
 def _long_counts(df: DataFrame, column: str, section: str) -> DataFrame:
-    return label_counts(df, column, "n").select(
+    return label_counts(df, column, "n_rows").select(
         F.lit(section).alias("section"),
         F.col(column).cast("string").alias("key"),
-        F.col("n").cast("string").alias("value"),
+        F.col("n_rows").cast("string").alias("value"),
     )
 
 
