@@ -28,6 +28,14 @@ from wattfold.sources import (
     read_report,
 )
 
+try:
+    from wattfold.llm import queries as llm
+except ModuleNotFoundError as e:
+    # Only the absence of the subpackage, or of what belongs to it, is passed over.
+    if e.name not in ("wattfold.llm", "wattfold.llm.queries", "corpus_pipeline"):
+        raise
+    llm = None
+
 EVENTS = (
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
     "value double, props string"
@@ -214,6 +222,10 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return _own_queries() | (llm.queries() if llm else {})
+
+
+def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "customer_total": lambda s, d: ops.customer_total(_customers(s, d)),
         "contract_counts": lambda s, d: ops.category_counts(_customers(s, d), "contract_type"),
@@ -322,6 +334,10 @@ def _long_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    return _own_oracle_sql() | (llm.oracle_sql() if llm else {})
+
+
+def _own_oracle_sql() -> dict[str, str]:
     customers = "(SELECT count(DISTINCT c_custkey) FROM customer)"
     return {
         "customer_total": "SELECT count(*) AS total_customers, "
