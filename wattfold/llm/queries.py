@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattfold.llm.bpe_codec import encode_decode
+from wattfold.llm.maxent import score_documents
+from wattfold.llm.minhash import near_duplicates
 from wattfold.llm.packing import pack_documents
+from wattfold.llm.quality import quality_verdicts
 from wattfold.llm.substring_dedup import substring_dedup
 from wattfold.llm.token_counts import token_counts
+from wattfold.llm.vptree import nearest_neighbours
 
 #: Ranks of the vocabulary in byte_bpe_50k.json.
 RANKS_50K = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -27,6 +31,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), RANKS_50K)
 
 
+def op2_vp_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), lambda c: c % 20 == 0)
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_table(spark, sf_dir, "documents"), RANKS_MULTI)
 
@@ -36,6 +44,13 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdicts = quality_verdicts(_table(spark, sf_dir, "documents"))
+    columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    doc_id = F.col("doc_id").cast("bigint").alias("doc_id")
+    return verdicts.select(doc_id, *columns, "base_failed", "kept")
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup(_table(spark, sf_dir, "documents"))
     return kept.select(
@@ -47,8 +62,25 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
+def op10_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_best_fit_packing, op3_bpe_codec, op4_token_counts, op7_suffix_array_dedup]
+    own = [
+        op1_best_fit_packing,
+        op2_vp_tree_neighbours,
+        op3_bpe_codec,
+        op4_token_counts,
+        op6_quality_cascade,
+        op7_suffix_array_dedup,
+        op8_maxent_scores,
+        op10_minhash_hamming,
+    ]
     return {query.__name__: query for query in own}
 
 
