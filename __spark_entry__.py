@@ -30,7 +30,7 @@ from wattfold.sources import (
 
 try:
     from wattfold.llm import queries as llm
-except ModuleNotFoundError as e:
+except ImportError as e:
     # Only the absence of the subpackage, or of what belongs to it, is passed over.
     if e.name not in ("wattfold.llm", "wattfold.llm.queries", "corpus_pipeline"):
         raise
