@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattfold.llm.bpe_codec import encode_decode
+from wattfold.llm.chat import chat_digests, format_chat, turn_rows
+from wattfold.llm.licenses import scan_licenses
 from wattfold.llm.maxent import score_documents
 from wattfold.llm.minhash import near_duplicates
 from wattfold.llm.packing import pack_documents
@@ -44,6 +47,19 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hard = r"\### Assistant: </turn> ok"
+    added = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(hard).alias("text"),
+    )
+    own = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turn_rows(own.unionByName(added), "conv_id")
+    return chat_digests(format_chat(turns))
+
+
 def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = quality_verdicts(_table(spark, sf_dir, "documents"))
     columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -66,6 +82,10 @@ def op8_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -76,12 +96,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op2_vp_tree_neighbours,
         op3_bpe_codec,
         op4_token_counts,
+        op5_chat_format,
         op6_quality_cascade,
         op7_suffix_array_dedup,
         op8_maxent_scores,
+        op9_license_scan,
         op10_minhash_hamming,
     ]
-    return {query.__name__: query for query in own}
+    return {query.__name__: query for query in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -323,8 +323,12 @@ def _digest_spans(cut: DataFrame, length: int) -> DataFrame:
     )
 
 
-def substring_dedup(docs: DataFrame, length: int = LENGTH, **shards: int) -> DataFrame:
-    """Each row of ``docs`` with ``kept`` (binary), ``n_bytes, n_removed, n_spans``.
+def substring_dedup(
+    docs: DataFrame, length: int = LENGTH, as_text: bool = False, **shards: int
+) -> DataFrame:
+    """Each row of ``docs`` with ``kept``, ``n_bytes, n_removed, n_spans``.
+
+    ``kept`` holds the bytes that are left or, ``as_text``, the characters left whole.
 
     A byte goes if a string of ``length`` bytes that covers it also starts earlier: at a
     smaller doc_id, or earlier in the same document. Strings are taken from the input, not
@@ -351,38 +355,43 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, **shards: int) -> Dat
         F.struct(*(F.col(f"`{c}`") for c in own.columns)).alias("row"),
     )
     joined = row.join(by_doc, "doc_id", "left").select("text", "spans", "row")
-    schema = f"kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, row {row.schema['row'].dataType.simpleString()}"
-    return joined.mapInArrow(_remove, schema).select(
+    kind = "string" if as_text else "binary"
+    schema = f"kept {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, row {row.schema['row'].dataType.simpleString()}"
+    return joined.mapInArrow(_remove(as_text), schema).select(
         "row.*", "kept", "n_bytes", "n_removed", "n_spans"
     )
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        kept, sizes, removed, runs = [], [], [], []
-        for text, by_tag in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            raw = text.encode()
-            found = []
-            if by_tag.is_valid:
-                tag = text_tag(raw)
-                found = [x["spans"] for x in by_tag.as_py() if x["tag"] == tag]
-            out, at, n = [], 0, 0
-            for a, b in _merged(found[0] if found else []):
-                out.append(raw[at:a])
-                at, n = b, n + 1
-            out.append(raw[at:])
-            kept.append(b"".join(out))
-            sizes.append(len(raw))
-            removed.append(len(raw) - len(kept[-1]))
-            runs.append(n)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(kept, pa.binary()),
-                *(pa.array(x, pa.int64()) for x in (sizes, removed, runs)),
-                batch.column(2),
-            ],
-            ["kept", "n_bytes", "n_removed", "n_spans", "row"],
-        )
+def _remove(as_text: bool):
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, sizes, removed, runs = [], [], [], []
+            for text, by_tag in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = text.encode()
+                found = []
+                if by_tag.is_valid:
+                    tag = text_tag(raw)
+                    found = [x["spans"] for x in by_tag.as_py() if x["tag"] == tag]
+                out, at, n = [], 0, 0
+                for a, b in _merged(found[0] if found else []):
+                    out.append(raw[at:a])
+                    at, n = b, n + 1
+                out.append(raw[at:])
+                left = b"".join(out)
+                sizes.append(len(raw))
+                removed.append(len(raw) - len(left))
+                runs.append(n)
+                kept.append(left.decode("utf-8", "ignore") if as_text else left)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(kept, pa.string() if as_text else pa.binary()),
+                    *(pa.array(x, pa.int64()) for x in (sizes, removed, runs)),
+                    batch.column(2),
+                ],
+                ["kept", "n_bytes", "n_removed", "n_spans", "row"],
+            )
+
+    return remove
 
 
 def _merged(spans: list[dict]) -> list[list[int]]:
