@@ -106,20 +106,31 @@ def _customer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _csv_file_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = ops.dataset_size_gib(spark, _write(_lp(spark, sf_dir), "csv"))
-    return size.select(
+    return _csv_data_size(spark, sf_dir).select(
         F.lit(plans.CSV_FILE).alias("csv_file"),
-        F.col("size_gib").alias("csv_size_gb"),
+        F.col("data_bytes").alias("csv_data_bytes"),
+        F.col("data_gib").alias("csv_data_gb"),
         F.lit(plans.ENCODING).alias("encoding"),
     )
 
 
 def _parquet_file_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = ops.dataset_state(spark, _write(_lp(spark, sf_dir), "parquet"))
-    return state.select(
+    """Whether the listed size is that of the files the rows are read from.
+
+    No SQL knows how many bytes the encoding takes, so two measures of them are compared.
+    """
+    path = _write(_lp(spark, sf_dir), "parquet")
+    file = F.col("_metadata")
+    read = spark.read.schema(EVENTS).parquet(path).select(
+        file["file_path"].alias("file"), file["file_size"].alias("size")
+    )
+    read = read.distinct().agg(F.sum("size").alias("read_bytes"))
+    both = ops.side_by_side(ops.dataset_state(spark, path), read)
+    return both.select(
         F.lit(plans.PARQUET_FILE).alias("parquet_file"),
-        F.col("size_gib").alias("parquet_size_gb"),
         F.col("available").alias("parquet_available"),
+        (F.col("size_gib") > 0).alias("has_size"),
+        (F.col("size_gib") == C.bytes_to_gib(F.col("read_bytes"))).alias("sizes_agree"),
     )
 
 
@@ -153,7 +164,19 @@ def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _report(spark, sf_dir).select(F.to_json(F.struct("*")).alias("report"))
+    """The whole report as text; of its sizes SQL can know none, so they are null."""
+    lp, processed = F.col("lp_data_summary"), F.col("processed_lp_data")
+    no_size = F.lit(None).cast("double")
+    report = _report(spark, sf_dir).select(
+        "customer_summary",
+        lp.withField("avg_power", F.round(lp["avg_power"], 6)).alias("lp_data_summary"),
+        processed.withField("file_info.csv_size_gb", no_size)
+        .withField("file_info.parquet_size_gb", no_size)
+        .alias("processed_lp_data"),
+        "metadata",
+    )
+    text = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+    return report.select(text.alias("report"))
 
 
 def _report_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,7 +236,7 @@ def _ts_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _bytes_to_gib(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents", DOCUMENTS)
-    return documents.select("doc_id", C.bytes_to_gib(F.col("n_chars")).alias("gib"))
+    return documents.select("doc_id", C.bytes_to_gib(F.octet_length("text")).alias("gib"))
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -302,6 +325,28 @@ _CSV_LINE = " + ".join(
 )
 
 
+def _report_sql() -> str:
+    customers = "(SELECT count(DISTINCT c_custkey) FROM customer)"
+    totals = (
+        "'\"total_records\":' || total_records || ',\"total_customers\":' || total_customers || "
+        "',\"date_range\":{\"start\":\"' || start_ts || '\",\"end\":\"' || end_ts || '\"}'"
+    )
+    parts = [
+        f"'{{\"customer_summary\":{{\"total_customers\":' || {customers}",
+        f"',\"contract_types\":' || {_map_sql('c_mktsegment')}",
+        f"',\"usage_types\":' || {_map_sql('c_nationkey')}",
+        f"'}},\"lp_data_summary\":{{' || {totals} || ',\"avg_power\":' || avg_power",
+        f"'}},\"processed_lp_data\":{{' || {totals}",
+        "',\"file_info\":{\"csv_file\":\"processed_lp_data.csv\",\"csv_size_gb\":null,"
+        "\"parquet_file\":\"processed_lp_data.parquet\",\"parquet_size_gb\":null,"
+        "\"parquet_available\":true,\"encoding\":\"utf-8-sig\"},"
+        f"\"processed_timestamp\":\"{_STAMP}\"}},\"metadata\":{{\"timestamp\":\"{_STAMP}\","
+        "\"analysis_stage\":\"step1_preprocessing_optimized\",\"version\":\"2.0\",'",
+        f"'\"total_customers\":' || {customers} || ',\"total_lp_records\":' || total_records || '}}}}'",
+    ]
+    return f"SELECT {' || '.join(parts)} AS report FROM ({_LP_SUMMARY})"
+
+
 def _long_sql() -> str:
     text = "CAST({} AS VARCHAR)"
     master = text.format("count(DISTINCT c_custkey)")
@@ -364,6 +409,12 @@ def _own_oracle_sql() -> dict[str, str]:
         "csv_data_size": "SELECT n AS data_bytes, "
         "CAST(n AS DOUBLE) / CAST(1073741824 AS DOUBLE) AS data_gib "
         f"FROM (SELECT CAST(sum({_CSV_LINE}) AS BIGINT) AS n FROM events)",
+        "csv_file_info": "SELECT 'processed_lp_data.csv' AS csv_file, n AS csv_data_bytes, "
+        "CAST(n AS DOUBLE) / CAST(1073741824 AS DOUBLE) AS csv_data_gb, 'utf-8-sig' AS encoding "
+        f"FROM (SELECT CAST(sum({_CSV_LINE}) AS BIGINT) AS n FROM events)",
+        "parquet_file_info": "SELECT 'processed_lp_data.parquet' AS parquet_file, "
+        "true AS parquet_available, true AS has_size, true AS sizes_agree",
+        "report_json": _report_sql(),
         "run_metadata": f"SELECT '{_STAMP}' AS timestamp, "
         "'step1_preprocessing_optimized' AS analysis_stage, '2.0' AS version, "
         f"{customers} AS total_customers, count(*) AS total_lp_records FROM events",
@@ -385,6 +436,6 @@ def _own_oracle_sql() -> dict[str, str]:
         "ts_iso_micros": f"SELECT event_id, strftime(ts, {_MICROS}) AS ts_text FROM events",
         "ts_parse": "SELECT o_orderkey, strftime(strptime(strftime(o_orderdate, '%d/%m/%Y'), "
         f"'%d/%m/%Y'), {_SECONDS}) AS ts_text FROM orders",
-        "bytes_to_gib": "SELECT doc_id, CAST(n_chars AS DOUBLE) / CAST(1073741824 AS DOUBLE) "
+        "bytes_to_gib": "SELECT doc_id, CAST(strlen(text) AS DOUBLE) / CAST(1073741824 AS DOUBLE) "
         "AS gib FROM documents",
     }

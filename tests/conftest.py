@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.golden import golden_customers, golden_readings
 
+# Fixed value: the published stamp.
 RUN_TS = datetime(2025, 7, 9, 23, 9, 19, 679137)
 
 

@@ -12,6 +12,7 @@ CONTRACT_TYPES = {
 }
 USAGE_TYPES = {"02 상업용": 105, "09 광공업용": 95}
 
+# The published totals, range and mean.
 CUSTOMERS = 200
 READINGS = 57_600
 METERED_CUSTOMERS = 10

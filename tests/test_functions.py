@@ -52,3 +52,9 @@ def test_published_sizes_digit_for_digit(spark):
     df = spark.createDataFrame([(3_583_412,), (362_197,)], "n bigint")
     sizes = [r[0] for r in df.select(bytes_to_gib(F.col("n"))).collect()]
     assert sizes == [0.003337312489748001, 0.00033732224255800247]
+
+
+def test_texts_of_a_five_digit_year(spark):
+    ts = F.lit("+12345-01-02 03:04:05.5").cast("timestamp_ntz")
+    row = spark.range(1).select(seconds_text(ts), iso_micros_text(ts)).first()
+    assert tuple(row) == ("+12345-01-02 03:04:05", "+12345-01-02T03:04:05.500000")

@@ -10,6 +10,7 @@ from tests.conftest import RUN_TS
 from wattfold.operators import lp_summary
 from wattfold.schemas import REPORT
 
+# Fixed value: the published stamp.
 STAMP = "2025-07-09T23:09:19.679137"
 
 

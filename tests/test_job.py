@@ -1,9 +1,12 @@
 from concurrent.futures import ThreadPoolExecutor
 
+import pytest
+
 from tests import golden
 from tests.conftest import RUN_TS
 from wattfold.job import main
 from wattfold.plans import build_report
+from wattfold.plans import report as report_plan
 from wattfold.sinks import write_csv_bom, write_parquet, write_report
 from wattfold.sources import read_report
 
@@ -60,3 +63,33 @@ def test_many_reports_in_one_session(spark, customers, hour_readings, tmp_path):
     with ThreadPoolExecutor(20) as pool:
         counts = {r.metadata.total_lp_records for r in pool.map(report, range(20), timeout=300)}
     assert counts == {30}
+
+
+@pytest.mark.parametrize("fails", ["write_parquet", "write_csv_bom"])
+def test_a_failed_run_leaves_no_earlier_report(
+    spark, customers, hour_readings, tmp_path, monkeypatch, fails
+):
+    write_parquet(customers, str(tmp_path / "c"))
+    write_parquet(hour_readings.select("customer_id", "ts", "power"), str(tmp_path / "lp"))
+    out = tmp_path / "out"
+    args = ["--customers", str(tmp_path / "c"), "--lp", str(tmp_path / "lp"), "--out", str(out)]
+    main(args)
+    assert (out / "report.json" / "_SUCCESS").exists()
+
+    def broken(*args, **options):
+        raise OSError("no space")
+
+    monkeypatch.setattr(report_plan, fails, broken)
+    with pytest.raises(OSError, match="no space"):
+        main(args)
+    assert not (out / "report.json").exists()
+
+
+def test_labels_of_one_text_in_the_whole_job(spark, hour_readings, tmp_path):
+    master = spark.createDataFrame(
+        [("1", "a", "x"), ("2", None, "x"), ("3", "null", None)],
+        "customer_id string, contract_type string, usage_type string",
+    )
+    section = build_report(master, hour_readings, str(tmp_path), RUN_TS).first().customer_summary
+    assert section.contract_types == {"null": 2, "a": 1}
+    assert section.usage_types == {"x": 2, "null": 1}

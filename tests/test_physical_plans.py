@@ -4,10 +4,17 @@ import re
 
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
-from wattfold.operators import category_counts, category_map, dataset_size_gib, lp_summary
-from wattfold.sinks import write_parquet
-from wattfold.sources import read_lp
+from __spark_entry__ import _own_oracle_sql as oracle_sql
+from __spark_entry__ import _own_queries as queries
+from wattfold.operators import (
+    category_counts,
+    category_map,
+    dataset_size_gib,
+    lp_summary,
+    lp_summary_of,
+)
+from wattfold.sinks import write_csv_bom, write_parquet
+from wattfold.sources import read_csv, read_lp
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -51,10 +58,18 @@ def test_counts_are_partial_before_the_shuffle(stored):
     assert text.index("partial_count") < text.index("hashpartitioning")
 
 
-def test_map_shuffles_its_labels_once(stored):
-    df = category_map(stored, "customer_id", "m")
-    df.collect()
-    assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
+def test_map_is_one_aggregate_of_counts(stored):
+    text = plan(category_map(stored, "customer_id", "m"))
+    assert len(re.findall("hashpartitioning", text)) == 1
+    assert text.index("partial_count") < text.index("hashpartitioning")
+
+
+def test_summary_of_a_write_shuffles_bare_ids(spark, readings, tmp_path):
+    write_csv_bom(readings, str(tmp_path / "lp"))
+    df = lp_summary_of(read_csv(spark, str(tmp_path / "lp"), schema=readings.schema), {})
+    text = plan(df)
+    assert len(re.findall("hashpartitioning", text)) == 1
+    assert re.search(r"Input \[1\]: \[customer_id#\d+\]\nArguments: hashpartitioning", text)
 
 
 def test_sizes_open_no_file(spark, stored):
@@ -65,6 +80,6 @@ def test_sizes_open_no_file(spark, stored):
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_no_join_no_python_no_cap(spark, name):
     text = plan(queries()[name](spark, SF_DIR))
-    for operator in ("Join", "Cartesian", "Python", "Limit", "TakeOrdered", "Sample"):
+    for operator in ("Join", "Cartesian", "Python", "Limit", "TakeOrdered", "Sample", "raise_error"):
         assert operator not in text
     assert oracle_sql().get(name, "").lower().count(" limit ") == 0

@@ -59,21 +59,14 @@ def test_overwriting_replaces(spark, hour_readings, tmp_path):
     assert spark.read.schema(hour_readings.schema).parquet(path).count() == 3
 
 
-class Conf:
-    def __init__(self, **values):
-        self.conf = self
-        self.values = values
+def test_scratch_lies_in_the_shared_folder(spark):
+    shared = spark.conf.get("spark.checkpoint.dir")
+    one, two = scratch.scratch_dir(spark), scratch.scratch_dir(spark)
+    assert one.startswith(f"{shared}/wattfold-") and one != two
 
-    def get(self, key, default):
-        return self.values.get(key.replace(".", "_"), default)
 
-
-def test_scratch_lies_in_the_shared_folder():
-    session = Conf(spark_checkpoint_dir="hdfs://shared/", spark_master="yarn")
-    one, two = scratch.scratch_dir(session), scratch.scratch_dir(session)
-    assert one.startswith("hdfs://shared/wattfold-") and one != two
-
-
-def test_scratch_without_a_shared_folder():
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        scratch.scratch_dir(Conf(spark_master="yarn"))
+def test_scratch_without_a_shared_folder_lies_below_the_warehouse(spark, monkeypatch, tmp_path):
+    own = {"spark.sql.warehouse.dir": str(tmp_path / "w")}
+    monkeypatch.setattr(scratch, "_setting", lambda name, spark: own.get(name))
+    assert scratch.scratch_dir(spark).startswith(f"{tmp_path}/w/wattfold-")
+    assert (tmp_path / "w").exists()

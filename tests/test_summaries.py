@@ -10,7 +10,7 @@ from wattfold.operators import (
     lp_range,
     lp_summary,
     lp_total,
-    summaries,
+    side_by_side,
 )
 from wattfold.plans import report_long
 
@@ -44,13 +44,23 @@ def test_no_customers_give_an_empty_map(spark):
     assert category_map(labels(spark, []), "k", "m").first().m == {}
 
 
-def test_too_many_labels_stop_the_map_only(spark, monkeypatch):
-    monkeypatch.setattr(summaries, "MAX_MAP_LABELS", 3)
-    df = labels(spark, "abcd")
-    with pytest.raises(Exception, match="over 3 labels"):
-        category_map(df, "k", "m").collect()
-    assert category_counts(df, "k", "n").count() == 4
-    assert category_map(labels(spark, "abca"), "k", "m").first().m == {"a": 2, "b": 1, "c": 1}
+def test_a_map_of_very_many_labels(spark):
+    df = spark.range(100_500).selectExpr("string(id) AS k").union(labels(spark, ["7"]))
+    m = F.col("m")
+    row = category_map(df, "k", "m").select(F.size(m), F.map_keys(m)[0], m["7"]).first()
+    assert tuple(row) == (100_500, "7", 2)
+
+
+def test_labels_of_one_text_are_one_entry(spark):
+    df = labels(spark, ["a", None, "null", "null"])
+    assert category_map(df, "k", "m").first().m == {"null": 3, "a": 1}
+    assert category_counts(df, "k", "n").count() == 3
+
+
+def test_parts_with_a_name_in_common_are_refused(spark):
+    one, two = (spark.range(1).select(F.lit(i).alias("n")) for i in (1, 2))
+    with pytest.raises(ValueError, match="n"):
+        side_by_side(one, two)
 
 
 def test_repeated_and_missing_customers(spark):
@@ -97,8 +107,7 @@ def test_one_customer_with_most_readings(spark):
     assert (row.total_records, row.total_customers) == (90_000, 30_001)
 
 
-def test_long_report_holds_any_number_of_labels(spark, readings, monkeypatch):
-    monkeypatch.setattr(summaries, "MAX_MAP_LABELS", 3)
+def test_long_report_holds_any_number_of_labels(spark, readings):
     master = spark.range(50).selectExpr(
         "string(id) AS customer_id", "string(id) AS contract_type", "'x' AS usage_type"
     )

@@ -14,19 +14,15 @@ def _ntz_text(ts: Column) -> Column:
 
 def seconds_text(ts: Column) -> Column:
     """``yyyy-MM-dd HH:mm:ss``; the fraction is cut off, not rounded."""
-    return F.substring(_ntz_text(ts), 1, 19)
+    return F.substring_index(_ntz_text(ts), ".", 1)
 
 
 def iso_micros_text(ts: Column) -> Column:
     """``yyyy-MM-ddTHH:mm:ss.ffffff``, always with six fraction digits."""
     text = _ntz_text(ts)
-    return F.concat(
-        F.substring(text, 1, 10),
-        F.lit("T"),
-        F.substring(text, 12, 8),
-        F.lit("."),
-        F.rpad(F.substring(text, 21, 6), 6, "0"),
-    )
+    fraction = F.when(F.contains(text, F.lit(".")), F.substring_index(text, ".", -1)).otherwise("")
+    seconds = F.replace(F.substring_index(text, ".", 1), F.lit(" "), F.lit("T"))
+    return F.concat(seconds, F.lit("."), F.rpad(fraction, 6, "0"))
 
 
 def parse_timestamp(text: Column, fmt: str = "yyyy-MM-dd HH:mm:ss") -> Column:
@@ -39,18 +35,11 @@ def bytes_to_gib(size: Column) -> Column:
     return size.cast("double") / F.lit(float(BYTES_PER_GIB))
 
 
-def ordered_count_map(label: Column, n: Column) -> Column:
-    """Aggregate of (label, n) rows: a map ordered by falling n, then by label.
+def ordered_count_map(key: Column, n: Column, label: Column) -> Column:
+    """Aggregate of counted keys: a map ordered by falling n, then by label.
 
-    Ties are ordered by the label's own type; the key is its text. A missing label
-    gets the key ``null``, because a map key may not be null.
+    Keys are texts and differ from each other; ties are ordered by the label's own type.
     """
-    entries = F.sort_array(F.collect_list(F.struct((-n).alias("minus_n"), label.alias("label"))))
-    return F.map_from_entries(
-        F.transform(
-            entries,
-            lambda e: F.struct(
-                F.coalesce(e["label"].cast("string"), F.lit("null")), -e["minus_n"]
-            ),
-        )
-    )
+    entry = F.struct((-n).alias("minus_n"), label.alias("label"), key.alias("key"))
+    entries = F.sort_array(F.collect_list(entry))
+    return F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], -e["minus_n"])))

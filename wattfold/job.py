@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 
 from wattfold.plans import build_report
 from wattfold.schemas import CUSTOMERS, READINGS
-from wattfold.sinks import write_report
+from wattfold.sinks import remove, write_report
 from wattfold.sources import read_customers, read_lp
 
 
@@ -35,8 +35,9 @@ def main(argv: Sequence[str] | None = None) -> None:
         spark, args.customers, args.format, args.customers_schema or CUSTOMERS
     )
     lp = read_lp(spark, args.lp, args.format, args.lp_schema or READINGS)
-    text_input = args.format not in ("parquet", "orc")
-    report = build_report(customers, lp, args.out, run_ts, one_scan=text_input)
+    # An earlier run's report must not stand beside what a failed one leaves.
+    remove(spark, f"{args.out}/report.json")
+    report = build_report(customers, lp, args.out, run_ts)
     write_report(report, f"{args.out}/report.json")
 
 

@@ -9,8 +9,10 @@ from wattfold.operators.summaries import (
     distinct_count,
     label_counts,
     lp_average,
+    lp_measures,
     lp_range,
     lp_summary,
+    lp_summary_of,
     lp_total,
 )
 
@@ -24,8 +26,10 @@ __all__ = [
     "distinct_count",
     "label_counts",
     "lp_average",
+    "lp_measures",
     "lp_range",
     "lp_summary",
+    "lp_summary_of",
     "lp_total",
     "side_by_side",
 ]

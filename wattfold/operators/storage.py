@@ -45,12 +45,7 @@ def dataset_state(spark: SparkSession, path: str) -> DataFrame:
 
 def dataset_available(spark: SparkSession, path: str) -> bool:
     """Whether the dataset exists and holds at least one part file."""
-    try:
-        return not _part_files(spark, path).isEmpty()
-    except AnalysisException as e:
-        if not _is_missing(e):
-            raise
-        return False
+    return dataset_state(spark, path).first()["available"]
 
 
 def _is_missing(e: AnalysisException) -> bool:

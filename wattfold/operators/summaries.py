@@ -6,9 +6,6 @@ from pyspark.sql import functions as F
 from wattfold.functions import ordered_count_map, seconds_text
 from wattfold.operators.combine import side_by_side
 
-# More labels than this are no code table. They stay available as rows.
-MAX_MAP_LABELS = 100_000
-
 
 def distinct_count(df: DataFrame, column: str, name: str) -> DataFrame:
     """One row: the exact number of distinct values of a column, nulls left out.
@@ -30,27 +27,27 @@ def category_counts(df: DataFrame, column: str, name: str = "n_customers") -> Da
 
 
 def category_map(df: DataFrame, column: str, name: str) -> DataFrame:
-    """One row: the same counts as an ordered map.
+    """One row: the same counts as an ordered map, in which labels of one text are one.
 
-    A map sits in one row, so the labels are counted before they are gathered and too
-    many of them stop the query. ``category_counts`` has no such bound.
+    A map's keys are texts, so a missing label and the text ``null`` share an entry, as do
+    labels that differ in nothing their text shows; ``category_counts`` keeps them apart.
+    The entries add up to the rows either way. The map is one row, so all labels are
+    gathered in one task, after counting.
     """
     n = f"n_{column}"
-    counts = label_counts(df, column, n)
-    # Looking at n keeps both aggregates the same, so Spark shuffles only once.
-    n_labels = counts.agg(F.count_if(F.col(n) > 0).alias("n_labels"))
-    too_many = F.raise_error(
-        F.lit(f"{column} has over {MAX_MAP_LABELS} labels; use category_counts")
-    ).cast("boolean")
-    fits = F.when(n_labels.scalar() <= MAX_MAP_LABELS, F.lit(True)).otherwise(too_many)
-    return counts.where(fits).agg(ordered_count_map(F.col(column), F.col(n)).alias(name))
+    key = F.coalesce(F.col(column).cast("string"), F.lit("null"))
+    counts = df.groupBy(key.alias("key")).agg(
+        F.count(F.lit(1)).alias(n), F.min(column).alias("label")
+    )
+    entries = ordered_count_map(F.col("key"), F.col(n), F.col("label"))
+    return counts.agg(entries.alias(name))
 
 
 def customer_total(df: DataFrame) -> DataFrame:
     """One row: rows of the customer master and distinct customers in it."""
-    return df.agg(
-        F.count(F.lit(1)).alias("total_customers"),
-        F.count_distinct("customer_id").alias("distinct_customers"),
+    return side_by_side(
+        df.agg(F.count(F.lit(1)).alias("total_customers")),
+        distinct_count(df, "customer_id", "distinct_customers"),
     )
 
 
@@ -86,6 +83,26 @@ def lp_summary(df: DataFrame, with_average: bool = True, one_scan: bool = False)
     return side_by_side(df.agg(*measures), _customers(df)).select(*names)
 
 
+def lp_measures() -> list[Column]:
+    """All measures of the summary but the distinct count, as plain aggregates."""
+    return [*_totals(), *_range(), F.sum("power").alias("sum_power"), F.count("power").alias("n_power")]
+
+
+def lp_summary_of(lp: DataFrame, measures: dict) -> DataFrame:
+    """The summary from measures that were taken while the readings were written.
+
+    Only the distinct count reads the source again, and it shuffles bare ids.
+    """
+    mean = F.try_divide(F.lit(measures.get("sum_power")).cast("double"), F.lit(measures.get("n_power")))
+    taken = lp.sparkSession.range(1).select(
+        F.lit(measures.get("total_records", 0)).cast("bigint").alias("total_records"),
+        *(F.lit(measures.get(c)).cast("string").alias(c) for c in ("start_ts", "end_ts")),
+        mean.cast("double").alias("avg_power"),
+    )
+    names = ["total_records", "total_customers", "start_ts", "end_ts", "avg_power"]
+    return side_by_side(taken, _customers(lp)).select(*names)
+
+
 def _totals() -> list[Column]:
     return [F.count(F.lit(1)).alias("total_records")]
 

@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -9,12 +8,20 @@ from pyspark.sql import SparkSession
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder name for tables that one query writes and another stage reads.
 
-    It lies in the shared folder the cluster names in ``spark.checkpoint.dir``. Only a
-    local session may do without one: its executors share this machine's disk.
+    It lies in the shared folder the cluster names in ``spark.checkpoint.dir``; where that
+    is unset, below the session's warehouse, which all executors share as well. All of an
+    application's scratch lies in one folder, which the driver's JVM deletes as it ends,
+    because the tables are read lazily and none is known to be done with before.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/wattfold-{uuid.uuid4().hex}"
-    if spark.conf.get("spark.master", "").startswith("local"):
-        return tempfile.mkdtemp(prefix="wattfold-")
-    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    names = ("spark.checkpoint.dir", "spark.sql.warehouse.dir")
+    shared = next(filter(None, (_setting(name, spark) for name in names)))
+    top = f"{shared.rstrip('/')}/wattfold-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(top)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.mkdirs(path):
+        fs.deleteOnExit(path)
+    return f"{top}/{uuid.uuid4().hex}"
+
+
+def _setting(name: str, spark: SparkSession) -> str | None:
+    return spark.conf.get(name, None)

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
@@ -52,3 +52,9 @@ def _quoted(name: str) -> str:
 def write_report(report: DataFrame, path: str, mode: str = "overwrite") -> None:
     """The one-row report as JSON, non-ASCII text as it is, null fields included."""
     report.coalesce(1).write.mode(mode).option("ignoreNullFields", "false").json(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a dataset, in whichever store its path names, if there is one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
