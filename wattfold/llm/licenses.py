@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rare words of a template whose places are looked up, and how many of them must agree
-#: on where the template starts.
-LOOKED_UP, AGREEING = 3, 2
+#: Of a template are looked up the rarest words of its key phrase, so many, and the
+#: rarest of its other words; so many of them must agree on where the template starts.
+#: The key's words must all stand, so no start is lost that could be verified.
+FROM_KEY, AGREEING = 2, 2
 #: Share of a template's words that must stand at their places.
 LEAST_SHARE = 0.7
 
@@ -79,6 +80,11 @@ def _rarest(words: Iterable[str], documents: dict[str, int]) -> list[str]:
     return sorted(set(words), key=lambda w: (documents.get(w, 0), w))
 
 
+def _looked_up(template: Template, documents: dict[str, int]) -> list[str]:
+    own = _rarest(template.key, documents)[:FROM_KEY]
+    return own + _rarest(set(template.words) - set(template.key), documents)[:1]
+
+
 def _starts(word: str, words: tuple[str, ...]) -> Column:
     """Where a template would start for each place of one of its words in ``hits``."""
     offsets = [i for i, w in enumerate(words) if w == word]
@@ -110,11 +116,11 @@ def _share(start: Column, template: Template) -> Column:
 
 def _best(template: Template, documents: dict[str, int]) -> Column:
     """Largest share over verified starts on which enough rare words agree."""
-    rare = _rarest(template.words, documents)[:LOOKED_UP]
+    rare = _looked_up(template, documents)
     starts = F.concat(*(F.array_distinct(_starts(w, template.words)) for w in rare))
     agreed = F.filter(
         F.array_distinct(starts),
-        lambda s: F.size(F.filter(starts, lambda x: x == s)) >= min(AGREEING, len(rare)),
+        lambda s: F.size(F.filter(starts, lambda x: x == s)) >= min(AGREEING, len(set(template.key))),
     )
     verified = _standing(agreed, template.key, template.key_at)
     best = F.array_max(F.transform(verified, lambda s: _share(s, template)))
@@ -128,8 +134,8 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
     or template holds its rarest words, so only texts with one of those are looked at
     further: the places of licence words in it give where a template would start, the
     starts on which rare words agree are kept, and the key phrase is verified there.
-    ``score`` is 1 with a base phrase, else the largest share of a template's words that
-    stand at their places, if it makes a label; else 0.
+    A template gives its label if its key phrase and ``LEAST_SHARE`` of its words stand at
+    their places. ``score`` is 1 with a base phrase, else the largest such share, or 0.
 
     A null or empty text has no words and no labels: counts 0, places null, labels empty.
     All places count, also when phrases overlap. A null doc_id stays null, equal rows
@@ -139,7 +145,7 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), lower_words(text).alias("words"))
     documents = rarity(rows, templates)
     anchors = [_rarest(phrase, documents)[0] for _, phrase in PHRASES]
-    looked_up = {w for t in templates for w in _rarest(t.words, documents)[:LOOKED_UP]}
+    looked_up = {w for t in templates for w in _looked_up(t, documents)}
     sought = sorted(looked_up | set(anchors))
     needed = set(anchors) | {_rarest(t.key, documents)[0] for t in templates}
     some = F.arrays_overlap("words", F.array(*map(F.lit, sorted(needed))))

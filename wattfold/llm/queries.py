@@ -14,6 +14,7 @@ from wattfold.llm.chat import chat_digests, format_chat, turn_rows
 from wattfold.llm.licenses import scan_licenses
 from wattfold.llm.maxent import score_documents
 from wattfold.llm.minhash import near_duplicates
+from wattfold.llm.oracle import SQL
 from wattfold.llm.packing import pack_documents
 from wattfold.llm.quality import quality_verdicts
 from wattfold.llm.substring_dedup import substring_dedup
@@ -107,4 +108,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

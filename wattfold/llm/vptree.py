@@ -113,8 +113,8 @@ class _Search:
             j = j[ids[j] != self.ids[i]]
             if not len(j):
                 continue
-            # Products summed row by row are the same wherever a vector lies.
-            score = (vectors[j] * self.queries[i]).sum(axis=1)
+            # Products summed one after the other are the same wherever a vector lies.
+            score = np.cumsum(vectors[j] * self.queries[i], axis=1)[:, -1]
             all_ids = np.concatenate([self.found_ids[i], ids[j]])
             scores = np.concatenate([self.found_scores[i], score])
             best = np.lexsort((all_ids, -scores))[: self.k]
