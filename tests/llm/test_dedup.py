@@ -143,10 +143,26 @@ def variants(seed, n, copies, changes):
     return [" ".join(x) for x in own]
 
 
-@pytest.mark.parametrize("stars", [2, 0])
-def test_near_duplicates(spark, monkeypatch, stars):
-    monkeypatch.setattr(minhash, "STAR_ROUNDS", stars)
+def star_of_variants(seed, n, copies):
+    """Copies of one document with few or many changed words, close to the threshold."""
+    import random
+
+    rng = random.Random(seed)
+    base = words(seed, n).split()
+    out = [base]
+    for _ in range(copies):
+        new = list(base)
+        for _ in range(rng.randint(1, 8)):
+            new[rng.randrange(n)] = rng.choice(["one", "two", f"w{rng.randrange(10**6)}"])
+        out.append(new)
+    return [" ".join(x) for x in out]
+
+
+@pytest.mark.parametrize("small", [16, 2, 0])
+def test_near_duplicates(spark, monkeypatch, small):
+    monkeypatch.setattr(minhash, "SMALL", small)
     texts = [t for s in range(6) for t in variants(s, 120, 12, 5)] + variants(77, 60, 40, 2)
+    texts += star_of_variants(78, 100, 60)
     rows = list(enumerate(texts))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r.doc_id: tuple(r)[1:] for r in near_duplicates(docs).collect()}

@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattfold.llm.common import id_and_text, slabs, stored
@@ -22,8 +22,9 @@ WORDS, PERCENT = 2, 80
 #: A component of a pair at the threshold differs with probability 0.2; then the chance
 #: that no chunk is that close is (1 - 0.8**5 - 5 * 0.2 * 0.8**4) ** 10 = 1.6e-6.
 CHUNKS, CHUNK, ERRORS = 10, 5, 1
-#: Rounds that compare a bucket's documents with one of them each.
-STAR_ROUNDS = 2
+#: Members of a bucket that are compared with each other as pairs. In larger ones, only
+#: those whose differences from the bucket's first member overlap enough.
+SMALL = 16
 
 _DROPPED = list(combinations(range(CHUNK), ERRORS))
 
@@ -149,28 +150,79 @@ def _set_rows(width: int):
 
 
 def _confirm(percent: int):
+    """Whether sets ``x`` and ``y`` of pairs are linked, and how ``x`` differs from ``y``."""
+
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            linked, lost, added, differences = [], [], [], []
+            for far, x, y in zip(*(batch.column(i) for i in (2, 3, 4)), strict=True):
                 a = np.frombuffer(x.as_buffer(), np.uint64)
                 b = np.frombuffer(y.as_buffer(), np.uint64)
                 both = np.concatenate([a, b])
                 both.sort()
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
+                twice = both[1:] == both[:-1]
+                common = int(np.count_nonzero(twice))
                 linked.append(100 * common >= percent * (len(both) - common))
-            yield batch.select([0, 1]).append_column("linked", pa.array(linked, pa.bool_()))
+                lost.append(len(b) - common)
+                added.append(len(a) - common)
+                once = ~(np.append(twice, False) | np.append(False, twice))
+                differences.append(both[once].view(np.int64) if far.as_py() else None)
+            columns = [
+                pa.array(linked, pa.bool_()),
+                pa.array(lost, pa.int64()),
+                pa.array(added, pa.int64()),
+                pa.array(differences, pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *columns],
+                ["a", "b", "linked", "lost", "added", "differences"],
+            )
 
     return confirm
 
 
+CONFIRMED = "a bigint, b bigint, linked boolean, lost bigint, added bigint, differences array<bigint>"
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` whose full sets have enough in common."""
+    """Pairs ``a, b`` with their full sets compared; ``large`` asks for the differences."""
     a = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
     b = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
-    rows = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y")
-    checked = rows.mapInArrow(_confirm(percent), "a bigint, b bigint, linked boolean")
-    return checked.where("linked").select("a", "b")
+    rows = pairs.join(a, "a").join(b, "b").select("a", "b", "large", "x", "y")
+    return rows.mapInArrow(_confirm(percent), CONFIRMED)
+
+
+def _by_differences(stars: DataFrame, percent: int) -> DataFrame:
+    """Pairs in large buckets that may be linked although one isn't with the bucket's first.
+
+    Let ``b`` be the first, and ``x`` and ``y`` others, of which ``x`` isn't linked with
+    ``b``. Against ``b`` a set has lost some shingles and added others. With ``p`` percent,
+    ``x`` and ``y`` are linked only if they share more than
+    ``(100 lost(y) + p added(y)) / (100 + p)`` of these differences: from
+    ``|x & y| = |b| - lost(x) - lost(y) + added(x) + added(y)`` less what is counted twice,
+    and ``|x & y| / |x | y| >= p / 100``, where the part that is left for ``x`` and ``b`` is
+    over zero because they aren't linked. So, with differences in one order, the first ones
+    of ``y`` up to all but that many must meet one of ``x``. The order is the rarest first.
+    """
+    own = stars.where("differences IS NOT NULL")
+    bar = F.floor((100 * F.col("lost") + percent * F.col("added")) / F.lit(100 + percent))
+    rows = own.select(
+        "a",
+        "b",
+        "linked",
+        (F.size("differences") - bar).alias("first"),
+        F.explode("differences").alias("d"),
+    )
+    counts = rows.groupBy("b", "d").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.join(counts.where("n > 1"), ["b", "d"], "left")
+    # A difference that no other member has is met by none, but it takes its place.
+    order = Window.partitionBy("b", "a").orderBy(F.coalesce("n", F.lit(1)), "d")
+    rows = rows.withColumn("nth", F.row_number().over(order)).where("n > 1")
+    rows = stored(rows.select("a", "b", "d", "linked", (F.col("nth") <= F.col("first")).alias("early")))
+    x = rows.where("NOT linked").select(F.col("a").alias("x"), "b", "d")
+    y = rows.where("early").select(F.col("a").alias("y"), "b", "d")
+    met = x.join(y, ["b", "d"]).where("x != y")
+    return met.select(F.least("x", "y").alias("b"), F.greatest("x", "y").alias("a")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -178,10 +230,11 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
 
     Documents are linked if their shingle sets have ``percent`` of their union in common.
     Those with equal sets are a class with one representative, so copies meet once. The
-    keys of representatives' signatures form buckets; a bucket's members are compared
-    with one of them, in two rounds with another one each, and then across the components
-    that are left in it, so that no pair of a bucket is left unless it is connected
-    already. Links are confirmed on full sets.
+    keys of representatives' signatures form buckets, and a bucket's members are compared
+    with its first. Of the pairs that are left, those in a bucket of up to ``SMALL`` are
+    compared unless they are connected already; those in larger ones if the members'
+    differences from the first overlap enough for a link, see ``_by_differences``. So no
+    link in a bucket is lost. Links are confirmed on full sets.
 
     A null or empty text, or one without words, has an empty set and is linked with
     nothing. Rows that share a doc_id are one document; of different texts the one whose
@@ -212,44 +265,30 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     )
     sets = stored(sets.dropDuplicates(["rep"]))
 
-    links = None
-    labels = members.select(*bucket, "rep", F.col("rep").alias("component"))
-    for turn in range(STAR_ROUNDS + 1):
-        mixed = labels.groupBy(*bucket).agg(
-            F.min("component").alias("least"),
-            F.max("component").alias("most"),
-            F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "component")).alias("star"),
+    size = members.groupBy(*bucket).agg(
+        F.min("rep").alias("b"), (F.count(F.lit(1)) > SMALL).alias("large")
+    )
+    size = stored(size)
+    stars = members.join(size, bucket).where("rep != b")
+    stars = stars.groupBy(F.col("rep").alias("a"), "b").agg(F.max("large").alias("large"))
+    stars = stored(_confirmed(stored(stars), sets, percent))
+    large = stored(_by_differences(stars, percent).withColumn("large", F.lit(False)))
+    links = stored(
+        stars.where("linked").select("a", "b").union(
+            _confirmed(large, sets, percent).where("linked").select("a", "b")
         )
-        mixed = mixed.where("least < most")
-        if turn == 0:
-            star = mixed.select(*bucket, F.col("least").alias("b"), F.col("least").alias("own"))
-        else:
-            star = mixed.select(
-                *bucket, F.col("star.rep").alias("b"), F.col("star.component").alias("own")
-            )
-        star = stored(star)
-        if turn < STAR_ROUNDS:
-            pairs = labels.join(star, bucket).where("component != own")
-            pairs = pairs.select(F.col("rep").alias("a"), "b")
-        else:
-            left = stored(labels.join(star.select(*bucket), bucket))
-            other = left.select(*bucket, F.col("rep").alias("b"), F.col("component").alias("own"))
-            pairs = left.withColumnRenamed("rep", "a").join(other, bucket)
-            pairs = pairs.where("component < own").select("a", "b")
-        if star.isEmpty():
-            break
-        pairs = stored(pairs.distinct())
-        found = stored(_confirmed(pairs, sets, percent))
-        links = found if links is None else links.union(found)
-        if turn < STAR_ROUNDS or not found.isEmpty():
-            joined = components(links)
-            labels = stored(
-                members.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(
-                    *bucket, "rep", F.coalesce("component", "rep").alias("component")
-                )
-            )
-    if links is None:
-        joined = classes.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
+    )
+    label = components(links).withColumnRenamed("node", "rep")
+    small = members.join(size.where("NOT large"), bucket).where("rep != b")
+    small = small.join(label, "rep", "left").select(
+        *bucket, "rep", F.coalesce("component", "rep").alias("own")
+    )
+    small = stored(small)
+    other = small.select(*bucket, F.col("rep").alias("b"), F.col("own").alias("its"))
+    pairs = small.withColumnRenamed("rep", "a").join(other, bucket).where("own < its")
+    pairs = pairs.select("a", "b").distinct().withColumn("large", F.lit(False))
+    more = _confirmed(stored(pairs), sets, percent).where("linked").select("a", "b")
+    joined = components(links.union(stored(more)))
     class_of = classes.join(joined, classes["rep"] == joined["node"], "left").select(
         "h1", "h2", F.col("n").alias("size"), F.coalesce("component", "rep").alias("component_id")
     )
