@@ -128,7 +128,8 @@ def turn_rows(df: DataFrame, key: str) -> DataFrame:
     conv = F.col(f"`{key}`").alias("conv_id")
     if mapping is None:
         turn = F.col("turn").cast("bigint").alias("turn")
-        return df.select(conv, turn, _text(F.col("role")).alias("role"), _text(F.col("text")).alias("text"))
+        role, text = (_text(F.col(c)).alias(c) for c in ("role", "text"))
+        return df.select(conv, turn, role, text)
     return df.select(conv, F.posexplode(mapping()).alias("turn", "t")).select(
         "conv_id", F.col("turn").cast("bigint").alias("turn"), "t.role", "t.text"
     )
@@ -194,11 +195,13 @@ def read_chat(formatted: DataFrame) -> DataFrame:
             unescape(F.substr(p, F.length(F.substring_index(p, CLOSE, 1)) + 2)).alias("text"),
         ),
     )
-    masked = F.transform(
-        "loss_spans",
-        lambda s: unescape(F.substr("formatted", (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))),
-    )
-    return formatted.select("conv_id", "formatted", parts.alias("turns"), F.array_join(masked, "").alias("loss_text"))
+
+    def masked(span: Column) -> Column:
+        start, end = span["start"].cast("int"), span["end"].cast("int")
+        return unescape(F.substr("formatted", start + 1, end - start))
+
+    loss = F.array_join(F.transform("loss_spans", masked), "").alias("loss_text")
+    return formatted.select("conv_id", "formatted", parts.alias("turns"), loss)
 
 
 def chat_digests(formatted: DataFrame) -> DataFrame:

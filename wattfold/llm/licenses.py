@@ -54,8 +54,12 @@ TEMPLATES = (
         "this work is licensed under the gnu general public license version 3",
         "gnu general public license",
     ),
-    Template.of("bsd", "redistribution and use in source and binary forms", "source and binary forms"),
-    Template.of("mpl-2.0", "subject to the terms of the mozilla public license", "mozilla public license"),
+    Template.of(
+        "bsd", "redistribution and use in source and binary forms", "source and binary forms"
+    ),
+    Template.of(
+        "mpl-2.0", "subject to the terms of the mozilla public license", "mozilla public license"
+    ),
 )
 
 
@@ -72,7 +76,8 @@ def rarity(words: DataFrame, templates: Iterable[Template]) -> dict[str, int]:
     """Documents that hold each word of the templates; a row per such word is collected."""
     vocabulary = F.array(*map(F.lit, _vocabulary(templates)))
     found = words.select(F.explode(F.array_intersect("words", vocabulary)).alias("word"))
-    return {r["word"]: r["n"] for r in found.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = found.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return {r["word"]: r["n"] for r in counts.collect()}
 
 
 def _rarest(words: Iterable[str], documents: dict[str, int]) -> list[str]:
@@ -117,10 +122,11 @@ def _share(start: Column, template: Template) -> Column:
 def _best(template: Template, documents: dict[str, int]) -> Column:
     """Largest share over verified starts on which enough rare words agree."""
     rare = _looked_up(template, documents)
+    enough = min(AGREEING, len(set(template.key)))
     starts = F.concat(*(F.array_distinct(_starts(w, template.words)) for w in rare))
     agreed = F.filter(
         F.array_distinct(starts),
-        lambda s: F.size(F.filter(starts, lambda x: x == s)) >= min(AGREEING, len(set(template.key))),
+        lambda s: F.size(F.filter(starts, lambda x: x == s)) >= enough,
     )
     verified = _standing(agreed, template.key, template.key_at)
     best = F.array_max(F.transform(verified, lambda s: _share(s, template)))
@@ -142,7 +148,8 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
     give equal rows, an empty table gives none; other columns play no role.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), lower_words(text).alias("words"))
+    doc_id = F.col("doc_id").cast("bigint").alias("doc_id")
+    rows = docs.select(doc_id, lower_words(text).alias("words"))
     documents = rarity(rows, templates)
     anchors = [_rarest(phrase, documents)[0] for _, phrase in PHRASES]
     looked_up = {w for t in templates for w in _looked_up(t, documents)}
@@ -168,7 +175,7 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
     own_labels = [
         F.when(F.col(f"share{i}") >= LEAST_SHARE, t.label) for i, t in enumerate(templates)
     ]
-    best = F.greatest(*(F.col(f"share{i}") for i in range(len(templates)))) if len(templates) > 1 else F.col("share0")
+    best = F.array_max(F.array(*(F.col(f"share{i}") for i in range(len(templates)))))
     return rows.select(
         "doc_id",
         "n_words",

@@ -181,7 +181,9 @@ def _confirm(percent: int):
     return confirm
 
 
-CONFIRMED = "a bigint, b bigint, linked boolean, lost bigint, added bigint, differences array<bigint>"
+CONFIRMED = (
+    "a bigint, b bigint, linked boolean, lost bigint, added bigint, differences array<bigint>"
+)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -218,7 +220,8 @@ def _by_differences(stars: DataFrame, percent: int) -> DataFrame:
     # A difference that no other member has is met by none, but it takes its place.
     order = Window.partitionBy("b", "a").orderBy(F.coalesce("n", F.lit(1)), "d")
     rows = rows.withColumn("nth", F.row_number().over(order)).where("n > 1")
-    rows = stored(rows.select("a", "b", "d", "linked", (F.col("nth") <= F.col("first")).alias("early")))
+    early = (F.col("nth") <= F.col("first")).alias("early")
+    rows = stored(rows.select("a", "b", "d", "linked", early))
     x = rows.where("NOT linked").select(F.col("a").alias("x"), "b", "d")
     y = rows.where("early").select(F.col("a").alias("y"), "b", "d")
     met = x.join(y, ["b", "d"]).where("x != y")
@@ -254,7 +257,8 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
         .groupBy("h1", "h2", "n")
         .agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature"))
     )
-    keys = classes.select("rep", "signature").mapInArrow(_keys, "slot short, key bigint, rep bigint")
+    keys = classes.select("rep", "signature")
+    keys = keys.mapInArrow(_keys, "slot short, key bigint, rep bigint")
     bucket = ["slot", "key"]
     shared = keys.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"))
     members = stored(keys.join(stored(shared.where("n > 1").select(*bucket)), bucket))

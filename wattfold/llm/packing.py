@@ -32,7 +32,10 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 @cache
 def _encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding(
-        "packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(path), special_tokens=SPECIAL
+        "packing",
+        pat_str=public_tokenizers.PATTERN,
+        mergeable_ranks=ranks(path),
+        special_tokens=SPECIAL,
     )
 
 
@@ -188,7 +191,9 @@ def pack_sizes(sizes: list[int], capacity: int, passes: int = 8) -> list[list[in
     return [items for items in bins.items if items]
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+def pack(
+    pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES
+) -> DataFrame:
     """Pieces with ``sequence_id`` and ``offset``; needs a stored table.
 
     A shard takes rows by their place in the table, not by a value of theirs, so equal

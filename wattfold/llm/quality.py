@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wattfold.llm.common import id_and_text, slabs
 
@@ -182,6 +183,8 @@ def quality_verdicts(
                 [*columns, pa.array(kept, pa.bool_()), batch.column(2)], [*new, "row"]
             )
 
-    types = [f"{m} bigint" for m in metrics] + [f"{c} boolean" for c in new[len(metrics) :]]
-    schema = ", ".join([*types, f"row {rows.schema['row'].dataType.simpleString()}"])
+    schema = T.StructType()
+    for name in new:
+        schema.add(name, T.LongType() if name in metrics else T.BooleanType())
+    schema.add("row", rows.schema["row"].dataType)
     return rows.mapInArrow(judge, schema).select("row.*", *new)

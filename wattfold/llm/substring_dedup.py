@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wattfold.llm.common import slabs, stored
 from wattfold.llm.suffix_array import common_prefixes, suffix_array
@@ -176,7 +177,10 @@ def _bytes_of(texts: DataFrame, wanted: DataFrame, length: int, anchor: int) ->
                         tags.append(tag)
                         data.append(raw[start + a : start + b + length - 1])
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(x, pa.int64()) for x in (anchors, ids, starts, tags)), pa.array(data, pa.binary())],
+                [
+                    *(pa.array(x, pa.int64()) for x in (anchors, ids, starts, tags)),
+                    pa.array(data, pa.binary()),
+                ],
                 ["anchor", "doc_id", "start", "tag", "bytes"],
             )
 
@@ -303,13 +307,14 @@ def repeat_spans(
 def _digest_spans(cut: DataFrame, length: int) -> DataFrame:
     """The same spans by grouping each string's digest, for anchors with many fragments."""
     offsets = F.sequence(F.lit(0), F.octet_length("bytes") - length)
+    string = F.substring("bytes", F.col("offset") + 1, F.lit(length))
     strings = cut.select(
         "doc_id", "tag", "start", "bytes", F.explode(offsets).alias("offset")
     ).select(
         "doc_id",
         "tag",
         (F.col("start") + F.col("offset")).alias("a"),
-        F.unhex(F.sha2(F.substring("bytes", F.col("offset") + 1, F.lit(length)), 256)).alias("digest"),
+        F.unhex(F.sha2(string, 256)).alias("digest"),
     )
     strings = stored(strings)
     first = strings.groupBy("digest").agg(
@@ -355,8 +360,10 @@ def substring_dedup(
         F.struct(*(F.col(f"`{c}`") for c in own.columns)).alias("row"),
     )
     joined = row.join(by_doc, "doc_id", "left").select("text", "spans", "row")
-    kind = "string" if as_text else "binary"
-    schema = f"kept {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, row {row.schema['row'].dataType.simpleString()}"
+    schema = T.StructType().add("kept", T.StringType() if as_text else T.BinaryType())
+    for name in ("n_bytes", "n_removed", "n_spans"):
+        schema.add(name, T.LongType())
+    schema.add("row", row.schema["row"].dataType)
     return joined.mapInArrow(_remove(as_text), schema).select(
         "row.*", "kept", "n_bytes", "n_removed", "n_spans"
     )
