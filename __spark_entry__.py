@@ -342,7 +342,8 @@ def _report_sql() -> str:
         "\"parquet_available\":true,\"encoding\":\"utf-8-sig\"},"
         f"\"processed_timestamp\":\"{_STAMP}\"}},\"metadata\":{{\"timestamp\":\"{_STAMP}\","
         "\"analysis_stage\":\"step1_preprocessing_optimized\",\"version\":\"2.0\",'",
-        f"'\"total_customers\":' || {customers} || ',\"total_lp_records\":' || total_records || '}}}}'",
+        f"'\"total_customers\":' || {customers}",
+        "',\"total_lp_records\":' || total_records || '}}'",
     ]
     return f"SELECT {' || '.join(parts)} AS report FROM ({_LP_SUMMARY})"
 

@@ -80,6 +80,7 @@ def test_sizes_open_no_file(spark, stored):
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_no_join_no_python_no_cap(spark, name):
     text = plan(queries()[name](spark, SF_DIR))
-    for operator in ("Join", "Cartesian", "Python", "Limit", "TakeOrdered", "Sample", "raise_error"):
+    operators = ("Join", "Cartesian", "Python", "Limit", "TakeOrdered", "Sample", "raise_error")
+    for operator in operators:
         assert operator not in text
     assert oracle_sql().get(name, "").lower().count(" limit ") == 0

@@ -85,7 +85,8 @@ def lp_summary(df: DataFrame, with_average: bool = True, one_scan: bool = False)
 
 def lp_measures() -> list[Column]:
     """All measures of the summary but the distinct count, as plain aggregates."""
-    return [*_totals(), *_range(), F.sum("power").alias("sum_power"), F.count("power").alias("n_power")]
+    power = [F.sum("power").alias("sum_power"), F.count("power").alias("n_power")]
+    return [*_totals(), *_range(), *power]
 
 
 def lp_summary_of(lp: DataFrame, measures: dict) -> DataFrame:
@@ -93,7 +94,8 @@ def lp_summary_of(lp: DataFrame, measures: dict) -> DataFrame:
 
     Only the distinct count reads the source again, and it shuffles bare ids.
     """
-    mean = F.try_divide(F.lit(measures.get("sum_power")).cast("double"), F.lit(measures.get("n_power")))
+    total = F.lit(measures.get("sum_power")).cast("double")
+    mean = F.try_divide(total, F.lit(measures.get("n_power")))
     taken = lp.sparkSession.range(1).select(
         F.lit(measures.get("total_records", 0)).cast("bigint").alias("total_records"),
         *(F.lit(measures.get(c)).cast("string").alias(c) for c in ("start_ts", "end_ts")),
