@@ -158,9 +158,10 @@ def star_of_variants(seed, n, copies):
     return [" ".join(x) for x in out]
 
 
-@pytest.mark.parametrize("small", [16, 2, 0])
-def test_near_duplicates(spark, monkeypatch, small):
-    monkeypatch.setattr(minhash, "SMALL", small)
+@pytest.mark.parametrize("small,apart,others", [(16, 512, 4096), (2, 7, 11)])
+def test_near_duplicates(spark, monkeypatch, small, apart, others):
+    for name, value in (("SMALL", small), ("APART", apart), ("OTHERS", others)):
+        monkeypatch.setattr(minhash, name, value)
     texts = [t for s in range(6) for t in variants(s, 120, 12, 5)] + variants(77, 60, 40, 2)
     texts += star_of_variants(78, 100, 60)
     rows = list(enumerate(texts))

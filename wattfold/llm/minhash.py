@@ -7,8 +7,9 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattfold.llm.common import id_and_text, slabs, stored
@@ -22,9 +23,11 @@ WORDS, PERCENT = 2, 80
 #: A component of a pair at the threshold differs with probability 0.2; then the chance
 #: that no chunk is that close is (1 - 0.8**5 - 5 * 0.2 * 0.8**4) ** 10 = 1.6e-6.
 CHUNKS, CHUNK, ERRORS = 10, 5, 1
-#: Members of a bucket that are compared with each other as pairs. In larger ones, only
-#: those whose differences from the bucket's first member overlap enough.
+#: Members of a bucket that are compared with each other as pairs. In larger ones they are
+#: compared by their differences from the bucket's first member, in blocks of so many
+#: members that aren't linked with it and of so many others.
 SMALL = 16
+APART, OTHERS, COLUMNS = 512, 4096, 2048
 
 _DROPPED = list(combinations(range(CHUNK), ERRORS))
 
@@ -154,7 +157,7 @@ def _confirm(percent: int):
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked, lost, added, differences = [], [], [], []
+            linked, size, lost, added, differences = [], [], [], [], []
             for far, x, y in zip(*(batch.column(i) for i in (2, 3, 4)), strict=True):
                 a = np.frombuffer(x.as_buffer(), np.uint64)
                 b = np.frombuffer(y.as_buffer(), np.uint64)
@@ -163,26 +166,29 @@ def _confirm(percent: int):
                 twice = both[1:] == both[:-1]
                 common = int(np.count_nonzero(twice))
                 linked.append(100 * common >= percent * (len(both) - common))
+                size.append(len(b))
                 lost.append(len(b) - common)
                 added.append(len(a) - common)
                 once = ~(np.append(twice, False) | np.append(False, twice))
                 differences.append(both[once].view(np.int64) if far.as_py() else None)
             columns = [
                 pa.array(linked, pa.bool_()),
+                pa.array(size, pa.int64()),
                 pa.array(lost, pa.int64()),
                 pa.array(added, pa.int64()),
                 pa.array(differences, pa.list_(pa.int64())),
             ]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *columns],
-                ["a", "b", "linked", "lost", "added", "differences"],
+                ["a", "b", "linked", "size", "lost", "added", "differences"],
             )
 
     return confirm
 
 
 CONFIRMED = (
-    "a bigint, b bigint, linked boolean, lost bigint, added bigint, differences array<bigint>"
+    "a bigint, b bigint, linked boolean, size bigint, lost bigint, added bigint, "
+    "differences array<bigint>"
 )
 
 
@@ -194,38 +200,115 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(_confirm(percent), CONFIRMED)
 
 
+def _shared(x: pa.Table, y: pa.Table) -> np.ndarray:
+    """How many differences each row of one table has in common with each of the other."""
+    parts = []
+    for t in (x, y):
+        lists = t["differences"].combine_chunks()
+        parts.append((np.array(lists.flatten()), np.array(pa.compute.list_parent_indices(lists))))
+    known = np.intersect1d(parts[0][0], parts[1][0])
+    counts = np.zeros((len(x), len(y)), np.float32)
+    if not len(known):
+        return counts
+    places = []
+    for values, rows in parts:
+        at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+        met = known[at] == values
+        order = np.argsort(at[met], kind="stable")
+        places.append((at[met][order], rows[met][order]))
+    for first in range(0, len(known), COLUMNS):
+        sides = []
+        for (at, rows), n in zip(places, (len(x), len(y)), strict=True):
+            a, b = np.searchsorted(at, (first, first + COLUMNS))
+            side = np.zeros((n, COLUMNS), np.float32)
+            side[rows[a:b], at[a:b] - first] = 1
+            sides.append(side)
+        counts += sides[0] @ sides[1].T
+    return counts
+
+
+def _links_of_block(percent: int):
+    """Links between a block's members apart from the first and its others.
+
+    With ``lost`` and ``added`` against a first set of ``size``, two sets have
+    ``size - lost - lost' + shared`` in common, where ``shared`` counts differences that
+    both have. Of the links found, one for each member that they connect is returned.
+    """
+
+    def links(table: pa.Table) -> pa.Table:
+        apart = table["apart"]
+        x, y = table.filter(apart), table.filter(pa.compute.invert(apart))
+        pairs: set[tuple[int, int]] = set()
+        if len(x) and len(y):
+            lost, added, ids = (
+                [t[c].to_numpy() for t in (x, y)] for c in ("lost", "added", "a")
+            )
+            size = int(x["size"][0].as_py())
+            common = size - lost[0][:, None] - lost[1][None] + _shared(x, y)
+            total = (size - lost[0] + added[0])[:, None] + (size - lost[1] + added[1])[None]
+            linked = 100 * common >= percent * (total - common)
+            linked &= ids[0][:, None] != ids[1][None]
+            pairs = _spanning(linked, *ids)
+        columns = [pa.array([pair[i] for pair in pairs], pa.int64()) for i in (0, 1)]
+        return pa.Table.from_arrays(columns, ["a", "b"])
+
+    return links
+
+
+def _spanning(linked: np.ndarray, x: np.ndarray, y: np.ndarray) -> set[tuple[int, int]]:
+    """Links that connect what all links connect: members found from each start, in turn."""
+    pairs: set[tuple[int, int]] = set()
+    new_x, new_y = linked.any(axis=1), linked.any(axis=0)
+    while new_x.any():
+        edge = [int(np.argmax(new_x))]
+        new_x[edge] = False
+        while len(edge):
+            reached = []
+            for i in edge:
+                own = np.flatnonzero(linked[i] & new_y)
+                new_y[own] = False
+                reached += own.tolist()
+                pairs |= {(int(x[i]), int(y[j])) for j in own}
+            edge = []
+            for j in reached:
+                own = np.flatnonzero(linked[:, j] & new_x)
+                new_x[own] = False
+                edge += own.tolist()
+                pairs |= {(int(x[i]), int(y[j])) for i in own}
+    return pairs
+
+
 def _by_differences(stars: DataFrame, percent: int) -> DataFrame:
-    """Pairs in large buckets that may be linked although one isn't with the bucket's first.
-
-    Let ``b`` be the first, and ``x`` and ``y`` others, of which ``x`` isn't linked with
-    ``b``. Against ``b`` a set has lost some shingles and added others. With ``p`` percent,
-    ``x`` and ``y`` are linked only if they share more than
-    ``(100 lost(y) + p added(y)) / (100 + p)`` of these differences: from
-    ``|x & y| = |b| - lost(x) - lost(y) + added(x) + added(y)`` less what is counted twice,
-    and ``|x & y| / |x | y| >= p / 100``, where the part that is left for ``x`` and ``b`` is
-    over zero because they aren't linked. So, with differences in one order, the first ones
-    of ``y`` up to all but that many must meet one of ``x``. The order is the rarest first.
+    """Links in large buckets of members that aren't linked with the bucket's first.
+
+    Those members meet all others that were compared with the same first, in blocks: a
+    block of them and one of the others are a group, so a very large bucket splits over
+    tasks. What members have in common follows from their differences from the first,
+    which are few where texts are alike, so no pairs and no sets travel.
     """
     own = stars.where("differences IS NOT NULL")
-    bar = F.floor((100 * F.col("lost") + percent * F.col("added")) / F.lit(100 + percent))
-    rows = own.select(
-        "a",
-        "b",
-        "linked",
-        (F.size("differences") - bar).alias("first"),
-        F.explode("differences").alias("d"),
+    n = own.groupBy("b").agg(
+        F.ceil(F.count_if(~F.col("linked")) / APART).cast("int").alias("xs"),
+        F.ceil(F.count(F.lit(1)) / OTHERS).cast("int").alias("ys"),
+    )
+    own = own.join(stored(n.where("xs > 0")), "b")
+    x = F.pmod(F.xxhash64("a"), F.col("xs")).cast("int")
+    y = F.pmod(F.xxhash64("a"), F.col("ys")).cast("int")
+    columns = ["a", "b", "size", "lost", "added", "differences"]
+    apart = own.where("NOT linked").select(
+        *columns,
+        F.lit(True).alias("apart"),
+        x.alias("x"),
+        F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("y"),
     )
-    counts = rows.groupBy("b", "d").agg(F.count(F.lit(1)).alias("n"))
-    rows = rows.join(counts.where("n > 1"), ["b", "d"], "left")
-    # A difference that no other member has is met by none, but it takes its place.
-    order = Window.partitionBy("b", "a").orderBy(F.coalesce("n", F.lit(1)), "d")
-    rows = rows.withColumn("nth", F.row_number().over(order)).where("n > 1")
-    early = (F.col("nth") <= F.col("first")).alias("early")
-    rows = stored(rows.select("a", "b", "d", "linked", early))
-    x = rows.where("NOT linked").select(F.col("a").alias("x"), "b", "d")
-    y = rows.where("early").select(F.col("a").alias("y"), "b", "d")
-    met = x.join(y, ["b", "d"]).where("x != y")
-    return met.select(F.least("x", "y").alias("b"), F.greatest("x", "y").alias("a")).distinct()
+    others = own.select(
+        *columns,
+        F.lit(False).alias("apart"),
+        F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("x"),
+        y.alias("y"),
+    ).select(apart.columns)
+    blocks = apart.union(others).groupBy("b", "x", "y")
+    return blocks.applyInArrow(_links_of_block(percent), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -235,9 +318,9 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     Those with equal sets are a class with one representative, so copies meet once. The
     keys of representatives' signatures form buckets, and a bucket's members are compared
     with its first. Of the pairs that are left, those in a bucket of up to ``SMALL`` are
-    compared unless they are connected already; those in larger ones if the members'
-    differences from the first overlap enough for a link, see ``_by_differences``. So no
-    link in a bucket is lost. Links are confirmed on full sets.
+    compared unless they are connected already; those in larger ones by their full
+    differences from the first, see ``_by_differences``. So no link in a bucket is lost,
+    and each is confirmed on full sets.
 
     A null or empty text, or one without words, has an empty set and is linked with
     nothing. Rows that share a doc_id are one document; of different texts the one whose
@@ -276,12 +359,8 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     stars = members.join(size, bucket).where("rep != b")
     stars = stars.groupBy(F.col("rep").alias("a"), "b").agg(F.max("large").alias("large"))
     stars = stored(_confirmed(stored(stars), sets, percent))
-    large = stored(_by_differences(stars, percent).withColumn("large", F.lit(False)))
-    links = stored(
-        stars.where("linked").select("a", "b").union(
-            _confirmed(large, sets, percent).where("linked").select("a", "b")
-        )
-    )
+    near_first = stars.where("linked").select("a", "b")
+    links = stored(near_first.union(_by_differences(stars, percent)))
     label = components(links).withColumnRenamed("node", "rep")
     small = members.join(size.where("NOT large"), bucket).where("rep != b")
     small = small.join(label, "rep", "left").select(
