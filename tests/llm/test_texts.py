@@ -147,6 +147,30 @@ def test_local_search_empties_bins():
     assert pack_sizes([], 2048) == []
 
 
+def test_local_search_of_a_full_shard():
+    """With the defaults, on pieces of which best fit pairs up the large ones."""
+    sizes = np.random.default_rng(3).integers(600, 801, 20_000).tolist()
+    plain, searched = pack_sizes(sizes, 2048, passes=0), pack_sizes(sizes, 2048)
+    assert sorted(i for own in searched for i in own) == list(range(20_000))
+    assert max(sum(sizes[i] for i in own) for own in searched) <= 2048
+    assert len(searched) < 0.95 * len(plain)
+
+
+def test_local_search_ends_where_no_exchange_is_left():
+    rng = np.random.default_rng(6)
+    for low, high, n in ((500, 1100, 40), (600, 801, 60), (20, 700, 120)):
+        sizes = rng.integers(low, high, n).tolist()
+        bins = [[sizes[i] for i in own] for own in pack_sizes(sizes, 2048)]
+        if len(bins) == -(-sum(sizes) // 2048):
+            continue
+        groups = [{0, *own, *(x + y for k, x in enumerate(own) for y in own[:k])} for own in bins]
+        for a, x in enumerate(bins):
+            for b, y in enumerate(bins):
+                gains = {s - t for s in groups[a] for t in groups[b] if s > t and a != b}
+                fits = [d for d in gains if sum(y) + d <= 2048]
+                assert all(sum(y) + d <= sum(x) for d in fits)
+
+
 def lm_tokens(text):
     lower = re.sub("[A-Z]", lambda m: m[0].lower(), text)
     return [*re.findall(r"[^\x20\x09-\x0D]+", lower), "\n"]

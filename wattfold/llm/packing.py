@@ -5,8 +5,8 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from heapq import nsmallest
-from itertools import combinations
+from heapq import heappop, heappush
+from itertools import combinations, count
 
 import numpy as np
 import pandas as pd
@@ -23,8 +23,6 @@ CAPACITY = 2048
 #: Pieces that one task packs together. A shard ends with about one underfull sequence
 #: more than a single large one would.
 SHARD_PIECES = 20_000
-#: Emptiest bins that a pass looks at, and items of a bin that form pairs.
-UNDERFULL, PAIRED = 128, 6
 SPECIAL = {"<|endoftext|>": 50256}
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -110,83 +108,117 @@ class _Bins:
             by_room[room - size].append(b)
             rooms |= 1 << (room - size)
 
-    def _groups(self, b: int) -> list[tuple[int, tuple[int, ...]]]:
-        """Sets of one or two items of a bin, with their size."""
-        own = self.items[b]
-        ones = [(self.sizes[i], (i,)) for i in own]
-        return ones + [
-            (self.sizes[x] + self.sizes[y], (x, y)) for x, y in combinations(own[:PAIRED], 2)
-        ]
+    def _groups(self, b: int) -> dict[int, tuple[int, ...]]:
+        """By size, a set of one or two items of a bin; for each size one stands for all."""
+        by_size: dict[int, list[int]] = {}
+        for i in self.items[b]:
+            by_size.setdefault(self.sizes[i], []).append(i)
+        groups = {2 * x: tuple(own[:2]) for x, own in by_size.items() if len(own) > 1}
+        for (x, own), (y, other) in combinations(by_size.items(), 2):
+            groups[x + y] = (own[0], other[0])
+        return groups | {x: (own[0],) for x, own in by_size.items()}
 
-    def search_pass(self) -> int:
+    def _enter(self, b: int) -> None:
+        """Puts an underfull bin's slots into the index; full and empty ones have none."""
+        self.version[b] += 1
+        self.groups[b] = {}
+        room = self.capacity - self.fill[b]
+        if not self.fill[b] or not room:
+            return
+        self.groups[b] = self._groups(b)
+        for size in (0, *self.groups[b]):
+            heappush(self.slots[size + room], (size, b, self.version[b]))
+            if size < self.least[size + room]:
+                self.least[size + room] = size
+
+    def search_pass(self, fewest: int = 0) -> int:
         """Exchanges between underfull bins that raise the sum of squared fills.
 
         Out of bin A goes a group of one or two items, out of bin B one of none (a move),
         one or two, so that B gets fuller by ``d``. The squares rise by
-        ``2 d (fill B - fill A + d)``. A bin changes once a pass. The neighbourhood of a
-        pass is the ``UNDERFULL`` emptiest bins and pairs of their first items.
+        ``2 d (fill B - fill A + d)``. All underfull bins and all groups take part, and a
+        bin is looked at until nothing more goes out of it. A pass ends early if no more
+        than ``fewest`` bins are left.
+
+        A slot is what B has room for once its group is out, ``c``. With a group of
+        ``size`` in it B's room is ``c - size``, so the squares rise if that is less than
+        A's room and B's group is smaller than A's. For each ``c`` the smallest group is
+        enough to know whether there is a slot.
         """
-        cap, fill = self.capacity, self.fill
-        open_bins = [b for b in range(len(fill)) if 0 < fill[b] < cap]
-        open_bins = nsmallest(UNDERFULL, open_bins, key=lambda b: fill[b])
-        slots: list[list[tuple[int, tuple[int, ...], int]]] = [[] for _ in range(cap + 1)]
-        filled = 0  # bit c is set if a slot of c exists
-        for b in reversed(open_bins):
-            room = cap - fill[b]
-            for size, group in [(0, ()), *self._groups(b)]:
-                slots[size + room].append((size, group, b))
-                filled |= 1 << (size + room)
-        changed: set[int] = set()
+        cap, fill, n = self.capacity, self.fill, len(self.fill)
+        self.version, self.groups = [0] * n, [{} for _ in range(n)]
+        self.slots: list[list[tuple[int, int, int]]] = [[] for _ in range(cap + 1)]
+        self.least = np.full(cap + 1, cap + 1)
+        used = sum(map(bool, self.items))
+        for b in range(n):
+            self._enter(b)
         done = 0
-        for a in open_bins:
-            if a in changed:
-                continue
-            for size, group in sorted(self._groups(a), reverse=True):
-                found = self._slot(slots, filled, a, size, len(group), changed)
-                if found:
-                    back_size, back, b = found
-                    self.items[a] = [i for i in self.items[a] if i not in group] + list(back)
-                    self.items[b] = [i for i in self.items[b] if i not in back] + list(group)
-                    fill[a] -= size - back_size
-                    fill[b] += size - back_size
-                    changed |= {a, b}
-                    done += 1
-                    break
+        for a in sorted((b for b in range(n) if self.groups[b]), key=lambda b: fill[b]):
+            found = True
+            while found:
+                found = False
+                for size in sorted(self.groups[a], reverse=True):
+                    slot = self._slot(a, size)
+                    if slot:
+                        self._exchange(a, size, *slot)
+                        done += 1
+                        used -= not self.items[a]
+                        if used <= fewest:
+                            return done
+                        found = True
+                        break
         return done
 
-    def _slot(self, slots, filled, a, size, n, changed):
+    def _slot(self, a: int, size: int) -> tuple[int, int] | None:
         """The slot that fits a group of A most tightly and raises the squares."""
-        fits = filled >> size
-        c = size
-        while fits:
-            step = (fits & -fits).bit_length()
-            c += step - 1
-            for back_size, back, b in slots[c]:
-                d = size - back_size
-                if (
-                    b != a
-                    and d > 0
-                    and b not in changed
-                    and self.fill[b] - self.fill[a] + d > 0
-                    and not (n == 2 and len(back) == 2)
-                ):
-                    return back_size, back, b
-            fits >>= step
+        c, end = size, size + self.capacity - self.fill[a]
+        while c < end:
+            smaller = self.least[c:end] < size
+            step = int(smaller.argmax())
+            if not smaller[step]:
+                return None
+            c += step
+            top = self._top(c)
+            if top and top[1] == a:
+                heappop(self.slots[c])
+                other = self._top(c)
+                heappush(self.slots[c], top)
+                self.least[c] = top[0]
+                top = other
+            if top and top[0] < size:
+                return top[0], top[1]
             c += 1
         return None
 
+    def _top(self, c: int) -> tuple[int, int, int] | None:
+        """The smallest group of the slots of ``c``; those of bins as they were are dropped."""
+        heap = self.slots[c]
+        while heap and heap[0][2] != self.version[heap[0][1]]:
+            heappop(heap)
+        self.least[c] = heap[0][0] if heap else self.capacity + 1
+        return heap[0] if heap else None
+
+    def _exchange(self, a: int, size: int, back_size: int, b: int) -> None:
+        group, back = self.groups[a][size], self.groups[b].get(back_size, ())
+        self.items[a] = [i for i in self.items[a] if i not in group] + list(back)
+        self.items[b] = [i for i in self.items[b] if i not in back] + list(group)
+        self.fill[a] -= size - back_size
+        self.fill[b] += size - back_size
+        self._enter(a)
+        self._enter(b)
+
 
-def pack_sizes(sizes: list[int], capacity: int, passes: int = 8) -> list[list[int]]:
+def pack_sizes(sizes: list[int], capacity: int, passes: int | None = None) -> list[list[int]]:
     """Item numbers by bin: best fit, then the local search.
 
-    The search ends when a pass finds nothing, when no fewer bins could hold the items,
-    or after a number of passes.
+    The search ends when a pass finds nothing, which it comes to because the squares only
+    rise, or when no fewer bins could hold the items; also after ``passes``, if given.
     """
     least = -(-sum(sizes) // capacity)
     bins = _Bins(sizes, capacity)
     bins.best_fit(sorted(range(len(sizes)), key=lambda i: -sizes[i]))
-    for _ in range(passes):
-        if sum(map(bool, bins.items)) <= least or not bins.search_pass():
+    for _ in count() if passes is None else range(passes):
+        if sum(map(bool, bins.items)) <= least or not bins.search_pass(least):
             break
     return [items for items in bins.items if items]
 
