@@ -202,6 +202,16 @@ def test_scores(spark):
     check_scores(table(spark, docs), score_documents(docs).collect())
 
 
+def test_scores_of_a_text_with_very_many_words(spark):
+    """More distinct words in a chunk than 20 bits can number."""
+    many = [f"{i * 7919 % 10**7:x}" for i in range(1_150_000)]
+    training = [i for i in range(20) if not held(i)]
+    rows = list(zip(training, [" ".join(many), " ".join(many[-9:] * 3), "only here"], strict=False))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    assert len(set(many)) > 1_100_000
+    check_scores(rows, score_documents(docs).collect())
+
+
 def test_model_beats_plain_counts_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = score_documents(docs).collect()
