@@ -108,6 +108,28 @@ def test_a_shard_keeps_the_first_of_equal_strings():
     assert list(zip(fragment.tolist(), offset.tolist(), strict=True)) == [(0, 5), (1, 0)]
 
 
+@pytest.mark.parametrize("limits", [{}, {"anchor_fragments": 1}])
+def test_repeats_of_a_repeated_row(spark, limits):
+    """What only a repeated row holds stays, also around a passage that others share."""
+    shared = words(50, 60)
+    rows = [(1, f"{words(51, 80)} {shared} {words(52, 80)}")]
+    rows += [(2, f"{words(53, 80)} {shared} {words(54, 80)}"), (3, f"{shared} {words(55, 9)}")]
+    df = spark.createDataFrame(rows + rows[:2] + rows[1:2], "doc_id bigint, text string")
+    got = [
+        (r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)))
+        for r in substring_dedup(df, **limits).collect()
+    ]
+    want = brute_repeats(rows, 100)
+    assert sorted(got) == sorted((i, want[i]) for i in (1, 1, 2, 2, 2, 3))
+
+
+def test_a_shard_takes_fragments_of_a_repeated_row_as_one():
+    data = [b"abcdefghij", b"abcdefghij", b"abcdefghij"]
+    ids, starts, tags = np.array([3, 5, 3]), np.array([10, 0, 10]), np.array([4, 1, 4])
+    fragment, offset = repeated_starts(ids, starts, tags, data, 10)
+    assert list(zip(fragment.tolist(), offset.tolist(), strict=True)) == [(1, 0)]
+
+
 def brute_components(docs, percent=80):
     sets = {}
     for i, text in docs:

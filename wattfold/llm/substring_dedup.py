@@ -195,15 +195,18 @@ def repeated_starts(
 
     One suffix array of all fragments, each followed by an end that equals no symbol.
     Neighbours that share ``length`` symbols hold the same string, and of those the one
-    with the least document and start is kept.
+    with the least document and start is kept. Fragments alike in document, start and tag
+    are of repeated rows and count as one.
     """
     sizes = np.array([len(x) + 1 for x in data])
     symbols = np.frombuffer(b"".join(x + b"\0" for x in data), np.uint8).astype(np.int16) + 1
     ends = np.cumsum(sizes)
     symbols[ends - 1] = 0
     order = np.lexsort((tags, starts, ids))
+    fresh = np.ones(len(data), bool)
+    fresh[1:] = np.any([np.diff(x[order]) != 0 for x in (ids, starts, tags)], axis=0)
     rank = np.empty(len(data), np.int64)
-    rank[order] = np.arange(len(data))
+    rank[order] = np.cumsum(fresh) - 1
     fragment = np.repeat(np.arange(len(data)), sizes)
     offset = np.arange(len(symbols)) - (ends - sizes)[fragment]
     sa = suffix_array(symbols, 257)
