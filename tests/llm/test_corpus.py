@@ -1,0 +1,290 @@
+"""Divergences of sources, order MinHash and ranked search against plain Python."""
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tests.llm.fixtures import documents, no_documents, words
+from wattfold.llm import order_minhash
+from wattfold.llm.divergence import Stripes, shares, source_divergences
+from wattfold.llm.order_minhash import edited, fingerprints, likeness, order_fingerprints
+from wattfold.llm.ranked_search import ranked_search
+
+LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+BIG = "big"
+
+
+def letters(text):
+    return re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+
+
+def alnum(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+
+
+def divergences_by_hand(rows):
+    rows = [(r["lang"] or "", r["source"] or "", letters(r["text"])) for r in rows]
+    out = set()
+    for lang in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == lang]
+        df = Counter(t for r in own for t in set(r[2]))
+        kept = [t for t, n in df.items() if n >= 3]
+        groups = {s: Counter(t for r in own if r[1] == s for t in r[2] if df[t] >= 3) for s in {r[1] for r in own}}
+        whole = Counter()
+        for c in groups.values():
+            whole.update(c)
+
+        def share(c, t):
+            return 1 + 10**9 * (c[t] + 1) // (sum(c.values()) + len(kept))
+
+        for s, c in groups.items():
+            p = {t: share(c, t) for t in kept}
+            q = {t: share(whole, t) for t in kept}
+            pairs = []
+            for o, d in groups.items():
+                if o != s:
+                    pairs.append((-sum((p[t] - share(d, t)) ** 2 // share(d, t) for t in kept), o))
+            terms = [(-((p[t] - q[t]) ** 2 // q[t]), t) for t in kept if c[t] > 0 and p[t] > q[t]]
+            for part, items in (("pair", sorted(pairs)), ("term", sorted(terms, key=lambda x: (x[0], x[1].encode()))[:200])):
+                out |= {(lang, s, part, item, -v, i + 1) for i, (v, item) in enumerate(items)}
+    return out
+
+
+def sourced(spark, clashing=False):
+    df = documents(spark, clashing)
+    n = F.monotonically_increasing_id()
+    source = F.when(n % 3 == 0, BIG).when(n % 5 == 0, None).otherwise(F.concat(F.lit("s"), (n % 4).cast("string")))
+    return df.withColumns({"source": source, "lang": F.when(n % 7 == 0, None).otherwise(F.col("lang"))}).cache()
+
+
+@pytest.mark.parametrize(("block", "entries", "size"), [(1 << 13, 10**6, 10**9), (7, 50, 10**9), (64, 10**6, 1)])
+def test_divergences(spark, block, entries, size):
+    df = sourced(spark)
+    df = df.union(df).union(df.where("doc_id < 5"))  # repeated rows count as often
+    got = source_divergences(df, block=block, entries=entries, size=size)
+    got = [tuple(r[c] for c in ("lang", "source", "part", "item", "value", "rank")) for r in got.collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == divergences_by_hand(df.collect())
+    assert any(r[2] == "term" for r in got)
+
+
+def test_divergences_over_tiles(spark, monkeypatch):
+    # Executors fork from this process, but tiles are summed by the function itself.
+    from wattfold.llm import divergence
+
+    df = sourced(spark)
+    df = df.union(df).union(df)
+    want = divergences_by_hand(df.collect())
+    stripes = [(r["lang"] or "", r["source"] or "", letters(r["text"])) for r in df.collect()]
+    lang = [r for r in stripes if r[0] == "en"]
+    kept = sorted(t for t, n in Counter(t for r in lang for t in set(r[2])).items() if n >= 3)
+    groups = {s: Counter(t for r in lang if r[1] == s for t in r[2] if t in set(kept)) for s in {r[1] for r in lang}}
+    import pyarrow as pa
+
+    cells = [[{"source": s, "n": c[t]} for s, c in groups.items() if c[t]] for t in kept]
+    kind = pa.list_(pa.struct([("source", pa.string()), ("n", pa.int64())]))
+    totals = [sum(x["n"] for x in c) for c in cells]
+    own = pa.StructArray.from_arrays([pa.array(kept), pa.array(totals), pa.array(cells, kind)], ["term", "total", "stripe"])
+    names = sorted(groups)
+    sums = pa.StructArray.from_arrays([pa.array(names), pa.array([sum(groups[s].values()) for s in names])], ["source", "n"])
+    monkeypatch.setattr(divergence, "TILE", 2)
+    block = divergence._Block(own, sums, len(kept), sum(totals))
+    got = {(names[i], names[j], v) for a in block.pairs() for i, j, v in zip(*(x.tolist() for x in a), strict=True)}
+    assert got == {(r[1], r[3], r[4]) for r in want if r[0] == "en" and r[2] == "pair"}
+
+
+def test_divergences_of_awkward_tables(spark):
+    assert source_divergences(no_documents(spark)).count() == 0
+    plain = {tuple(r) for r in source_divergences(sourced(spark)).collect()}
+    assert plain == {tuple(r) for r in source_divergences(sourced(spark, clashing=True)).collect()}
+    # A language that keeps no term still has its pairs, all of them zero.
+    few = spark.createDataFrame([("xx", "a", "one two"), ("xx", "b", None), ("xx", None, "three")], "lang string, source string, text string")
+    got = {tuple(r) for r in source_divergences(few).collect()}
+    want = {("xx", s, "pair", o, 0, i + 1) for s in ("", "a", "b") for i, o in enumerate(sorted({"", "a", "b"} - {s}))}
+    assert got == want
+
+
+def test_shares_are_exact():
+    rng = random.Random(1)
+    for _ in range(200):
+        total, terms = rng.randint(0, 9 * 10**14), rng.randint(1, 10**6)
+        count = rng.randint(0, total)
+        got = shares(np.array([count]), np.int64(total), terms)[0]
+        assert got == 1 + 10**9 * (count + 1) // (total + terms)
+
+
+def test_stripes_spill_and_begin_anew():
+    held = Stripes()
+    held.fold("en", "a", b"One two  one")
+    held.fold("en", "b", "two ÄÄ 漢x9".encode())
+    rows = [r for b in held.spill() for r in b.to_pylist()]
+    got = {r["term"]: (r["df"], dict(zip(r["sources"], r["counts"], strict=True))) for r in rows}
+    assert got == {"one": (1, {"a": 2}), "two": (2, {"a": 1, "b": 1}), "ÄÄ": (1, {"b": 1}), "漢x": (1, {"b": 1})}
+    assert not held.entries and not list(held.spill())
+
+
+def mix(x):
+    m = 2**64 - 1
+    x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & m
+    x = ((x ^ (x >> 29)) * 0xBF58476D1CE4E5B9) & m
+    return x ^ (x >> 32)
+
+
+def sketches_by_hand(text):
+    """One k-mer, one permutation and one tuple at a time."""
+    m, odd, k = 2**64 - 1, int(order_minhash.ODD), order_minhash.K
+    padded = text.ljust(k, "\0") if text else ""
+    marked, seen = [], Counter()
+    for i in range(len(padded) - k + 1 if text else 0):
+        h = 0
+        for c in padded[i : i + k]:
+            h = (h * odd + ord(c)) & m
+        h = mix(h)
+        if len(text) < k:
+            h = (h + k - len(text)) & m
+        low = h >> order_minhash.PLACE_BITS
+        marked.append(h if not seen[low] else mix((h + seen[low] * odd) & m))
+        seen[low] += 1
+    out = []
+    for factor in order_minhash.FACTORS.tolist():
+        order = sorted(range(len(marked)), key=lambda i: ((marked[i] * factor & m) >> order_minhash.PLACE_BITS, i))
+        chosen = sorted(order[: order_minhash.TUPLE])
+        h = 0
+        for i in range(order_minhash.TUPLE):
+            own = marked[chosen[i]] if i < len(chosen) else 0
+            h = mix(((h + own + 1) * odd) & m)
+        out.append(h >> 32)
+    return out
+
+
+def test_sketches_one_by_one(monkeypatch):
+    texts = ["", "a", "ab", "abcdef", "abcdefg", "aaaaaaaaaaaaaaaaaa", "ab\0\0\0\0", words(4, 40), "😀漢" * 30, words(5, 200)]
+    want = [sketches_by_hand(t) for t in texts]
+    assert fingerprints(texts).tolist() == want
+    assert fingerprints(texts[::-1]).tolist() == want[::-1]
+    monkeypatch.setattr(order_minhash, "WINDOW", 100)  # texts that go through many windows
+    assert fingerprints(texts).tolist() == want
+    assert len({tuple(w) for w in want}) == len(texts)
+
+
+def test_sketches_feel_the_order():
+    own = words(6, 400)
+    half = len(own) // 2
+    moved = own[half:] + own[:half]
+    changed = own[: half - 40] + words(7, 12)[:80] + own[half + 40 :]
+    a, b, c, d = fingerprints([own, moved, changed, words(8, 400)])
+    assert likeness(a, c) > 0.8 > likeness(a, b) and likeness(a, d) < 0.1
+    # The halves of a pair change places in half of the tuples; their set stays the same.
+    assert 0.3 < likeness(a, b) < 0.7
+
+
+def fingerprints_by_hand(rows):
+    """Rows of one id in any order give the same texts only if they are alike."""
+    texts = [t or "" for _, t in rows]
+    out = Counter()
+    for i, (doc_id, _) in enumerate(rows):
+        new = edited(texts[i], texts[(i + 1) % len(rows)])
+        own, following, changed = fingerprints([texts[i], texts[(i + 1) % len(rows)], new])
+        out[doc_id, len(texts[i]), hashlib.sha256(new.encode()).hexdigest(), own.astype(">u4").tobytes().hex(), changed.astype(">u4").tobytes().hex(), float(likeness(own, changed)), float(likeness(own, following))] += 1
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 3, 200])
+def test_fingerprints_of_documents(spark, parts):
+    df = documents(spark).where("doc_id is null or doc_id not in (5, 12)")
+    rows = [(r["doc_id"], r["text"]) for r in df.collect()]
+    rows.sort(key=lambda r: (r[0] is None, -(r[0] or 0)))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = order_fingerprints(df).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert Counter(tuple(r) for r in got) == fingerprints_by_hand(rows)
+
+
+def test_fingerprints_of_awkward_tables(spark):
+    assert order_fingerprints(no_documents(spark)).count() == 0
+    one = documents(spark).where("doc_id = 10")
+    (row,) = order_fingerprints(one).collect()
+    assert (row.near_next, row.n_chars) == (1.0, len(one.first().text))
+    clash = order_fingerprints(documents(spark, clashing=True))
+    assert clash.count() == documents(spark).count()
+    # Equal texts have equal fingerprints, and repeated rows all have a result.
+    same = spark.createDataFrame([(7, "the same text of a row")] * 50 + [(1, "another text")], "doc_id int, text string")
+    got = Counter((r.doc_id, r.fingerprint, r.near_next) for r in order_fingerprints(same).collect())
+    assert sorted(got.values()) == [1, 1, 49]
+
+
+def ranked_by_hand(docs, items, k=10):
+    held = [(r["doc_id"], Counter(alnum(r["text"]))) for r in docs]
+    held = [(i, c, sum(c.values())) for i, c in held if c]
+    n, total = len(held), sum(x[2] for x in held)
+    df = Counter(t for _, c, _ in held for t in c)
+    out = {}
+    for item_id, text in items:
+        found = []
+        for doc_id, c, length in held:
+            m = 25 + 75 * length * n // total
+            score = 0
+            for t in alnum(text):
+                if c[t]:
+                    w = math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1)))
+                    score += w * (10**9 * c[t] // (1000 * c[t] + 8 * m))
+            if score > 0:
+                found.append((-score, doc_id is None, doc_id or 0))
+        out[item_id] = [(None if no else i, -s) for s, no, i in sorted(found)[:k]]
+    return out
+
+
+@pytest.mark.parametrize("block_items", [1024, 2])
+def test_ranked_search(spark, block_items):
+    docs = documents(spark)
+    docs = docs.union(docs.where("doc_id between 0 and 4"))
+    rows = docs.collect()
+    items = [(1, words(1, 200)), (2, "one"), (3, None), (4, "!?"), (5, words(3, 120) + " one ONE One two"), (6, "nowhereatall"), (None, "spam two")]
+    items += [(8, rows[10]["text"]), (2, "words of a larger text under the same id"), (9, words(2, 900))]
+    df = spark.createDataFrame(items, "item_id bigint, text string").withColumn("score", F.lit(1))
+    got = {}
+    for r in sorted(ranked_search(docs, df, block_items=block_items).collect(), key=lambda r: (r.item_id or 0, r["rank"])):
+        got.setdefault(r.item_id, []).append((r.doc_id, r.score))
+        assert r["rank"] == len(got[r.item_id])
+    items = [i for i in items if i[1] != "words of a larger text under the same id"]
+    assert got == {i: x for i, x in ranked_by_hand(rows, items).items() if x}
+    assert ranked_search(docs, df.limit(0)).count() == 0
+    assert ranked_search(no_documents(spark), df).count() == 0
+
+
+def test_strata_are_left_out(spark):
+    """Most strata's bounds stay below the tenth score of an item that has ten copies."""
+    import pyarrow as pa
+
+    from wattfold.llm.ranked_search import Item, Strata, _shard, weight
+
+    rng = random.Random(5)
+    pool = [words(i, 1) for i in range(400)]
+    texts = [" ".join(rng.choices(pool, k=rng.randint(5, 900))) for _ in range(600)]
+    item = " ".join(rng.choices(pool, k=8) + ["rare1", "rare2", "rare3"])
+    texts += [item] * 12
+    columns = _shard(pa.array(range(len(texts))), texts)
+    names = ["n_docs", "n_terms", "ids", "lengths", "terms", "df", "postings"]
+    row = {n: c[0].as_py() for n, c in zip(names, columns, strict=True)}
+    row["lengths"] = np.array(row["lengths"])
+    vocabulary = pa.array(sorted({t.encode() for t in alnum(item)}), pa.binary())
+    counts = [Counter(alnum(t)) for t in texts]
+    times = Counter(alnum(item))
+    w = [weight(sum(t.decode() in c for c in counts), len(texts)) * times[t.decode()] for t in vocabulary.to_pylist()]
+    strata = Strata(row, vocabulary, row["n_docs"], row["n_terms"])
+    asked = Item(1, np.arange(len(vocabulary)), np.array(w), 10)
+    strata.search(asked)
+    rows = [{"doc_id": i, "text": t} for i, t in enumerate(texts)]
+    assert [(i, -s) for s, _, i in asked.best] == ranked_by_hand(rows, [(1, item)])[1]
+    assert asked.visited < strata.most.shape[1] / 2

@@ -6,6 +6,8 @@ from wattfold.llm.chat import CLOSE, END, OPEN, TRAINED_ROLE
 from wattfold.llm.licenses import LEAST_SHARE, PHRASES, TEMPLATES, WORD
 
 _SPACED = r"[^\x20\x09-\x0D]+"
+_LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+_ALNUM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 NEIGHBOURS = """
@@ -150,10 +152,83 @@ FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN n USING (doc_id)
     LEFT JOIN least ON least.a = doc_id
 """
 
+DIVERGENCE = f"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        coalesce(text, '') AS text
+    FROM documents
+), t AS (
+    SELECT r, lang, source, unnest(regexp_extract_all({_LOWER.format("text")},
+        '{_LETTERS}')) AS term
+    FROM d
+), k AS (
+    SELECT lang, term, count(*) AS c FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3
+), v AS (
+    SELECT lang, count(*) AS v, CAST(sum(c) AS BIGINT) AS n FROM k GROUP BY lang
+), c AS (
+    SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL
+), g AS (
+    SELECT lang, source, CAST(coalesce(sum(c), 0) AS BIGINT) AS n
+    FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL
+), p AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c,
+        1 + 1000000000 * (coalesce(c.c, 0) + 1) // (g.n + v.v) AS p,
+        1 + 1000000000 * (k.c + 1) // (v.n + v.v) AS q
+    FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)
+), f AS (
+    SELECT a.lang, a.source, b.source AS item,
+        CAST(sum((a.p - b.p) * (a.p - b.p) // b.p) AS BIGINT) AS value
+    FROM p AS a JOIN p AS b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL
+), r AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+    FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE c > 0 AND p > q
+)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)
+    AS INTEGER) AS rank
+FROM r QUALIFY part = 'pair' OR rank <= 200
+"""
+
+SEARCH = f"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+), t AS (
+    SELECT r, unnest(regexp_extract_all({_LOWER.format("text")}, '{_ALNUM}')) AS term FROM d
+), f AS (
+    SELECT r, term, count(*) AS tf FROM t GROUP BY ALL
+), n AS (
+    SELECT r, count(*) AS n FROM t GROUP BY r
+), a AS (
+    SELECT count(*) AS n, CAST(sum(n) AS BIGINT) AS l FROM n
+), m AS (
+    SELECT n.r, 25 + (75 * n.n * a.n) // a.l AS m FROM n, a
+), w AS (
+    SELECT term, CAST(floor(1000 * ln((2 * a.n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+    FROM f, a GROUP BY term, a.n
+), i AS (
+    SELECT item_id, min(coalesce(text, '')) AS text FROM benchmark GROUP BY item_id
+), q AS (
+    SELECT item_id, unnest(regexp_extract_all({_LOWER.format("text")}, '{_ALNUM}')) AS term FROM i
+), s AS (
+    SELECT q.item_id, f.r,
+        CAST(sum(w.w * ((1000000000 * f.tf) // (1000 * f.tf + 8 * m.m))) AS BIGINT) AS score
+    FROM q JOIN w USING (term) JOIN f USING (term) JOIN m USING (r) GROUP BY ALL
+), o AS (
+    SELECT s.item_id, d.doc_id, s.score, row_number() OVER (
+        PARTITION BY s.item_id ORDER BY s.score DESC, d.doc_id NULLS LAST) AS rank
+    FROM s JOIN d USING (r) WHERE s.score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 10
+"""
+
 SQL = {
     "op2_vp_tree_neighbours": NEIGHBOURS,
     "op5_chat_format": CHAT,
     "op6_quality_cascade": QUALITY,
     "op9_license_scan": _licenses(),
     "op10_minhash_hamming": NEAR_DUPLICATES,
+    "op11_source_divergence": DIVERGENCE,
+    "op13_ranked_search": SEARCH,
 }

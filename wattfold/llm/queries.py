@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 from wattfold.llm.bpe_codec import encode_decode
 from wattfold.llm.chat import chat_digests, format_chat, turn_rows
+from wattfold.llm.divergence import source_divergences
 from wattfold.llm.licenses import scan_licenses
 from wattfold.llm.maxent import score_documents
 from wattfold.llm.minhash import near_duplicates
 from wattfold.llm.oracle import SQL
+from wattfold.llm.order_minhash import order_fingerprints
 from wattfold.llm.packing import pack_documents
 from wattfold.llm.quality import quality_verdicts
+from wattfold.llm.ranked_search import ranked_search
 from wattfold.llm.substring_dedup import substring_dedup
 from wattfold.llm.token_counts import token_counts
 from wattfold.llm.vptree import nearest_neighbours
@@ -91,6 +94,19 @@ def op10_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergences(_table(spark, sf_dir, "documents"))
+
+
+def op12_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, items = (_table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    return ranked_search(documents, items)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         op1_best_fit_packing,
@@ -103,6 +119,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_maxent_scores,
         op9_license_scan,
         op10_minhash_hamming,
+        op11_source_divergence,
+        op12_order_minhash,
+        op13_ranked_search,
     ]
     return {query.__name__: query for query in own} | {"pipeline": corpus_pipeline.run}
 
