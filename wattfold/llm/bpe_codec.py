@@ -53,36 +53,60 @@ class _State:
                 heappush(heap, r)
 
     def apply(self, replay: Replay, rank: int, heap: list[int]) -> None:
-        """One merge at its first place in each word; a word's further places wait.
+        """One merge at all its places, as far as each word would take them on its own.
 
-        So a word takes its merges one by one from the left, as it would on its own, also
-        where places touch or a merge makes a pair of an earlier one.
+        A word takes its merges from the left. Of places that touch, every second one is
+        gone by then. Only a lower merge that arises beside a place comes before the places
+        behind it; those wait.
         """
-        at = self.places.pop(rank)
-        at = at[0] if len(at) == 1 else np.unique(np.concatenate(at))
+        at = np.unique(np.concatenate(self.places.pop(rank)))
         at = at[self.merge[at] == rank]
         if not len(at):
             return
-        word = self.word[at]
-        first = np.append(True, word[1:] != word[:-1])
-        if not first.all():
-            self._put(rank, at[~first], heap)
-            at = at[first]
-        gone = self.right[at]
-        after, before = self.right[gone], self.left[at]
-        made = np.full(len(at), rank)
-        ahead = replay._merge(made, self.token[after])
-        # Before the first symbol of all stands the last one, which is an end.
-        behind = replay._merge(self.token[before], made)
-        self.token[at], self.token[gone] = rank, GONE
-        self.right[at], self.left[after] = after, at
+        chain = np.flatnonzero(np.append(True, self.right[at[:-1]] != at[1:]))
+        nth = np.arange(len(at)) - np.repeat(chain, np.diff(np.append(chain, len(at))))
+        own = at[nth % 2 == 0]
+        late = self._after_lower(replay, rank, own)
+        if late is not None:
+            at_word = self.word[at]
+            self._put(rank, at[at > late[at_word]], heap)
+            own = own[own <= late[self.word[own]]]
+        gone = self.right[own]
+        after = self.right[gone]
+        self.token[own], self.token[gone] = rank, GONE
+        self.right[own], self.left[after] = after, own
         self.merge[gone] = NONE
-        self.merge[at], self.merge[before] = ahead, behind
-        self._enter(np.concatenate([at[ahead != NONE], before[behind != NONE]]), heap)
+        before = self.left[own]
+        made = np.full(len(own), rank)
+        # Before the first symbol of all stands the last one, which is an end.
+        self.merge[before] = replay._merge(self.token[before], made)
+        self.merge[own] = replay._merge(made, self.token[after])
+        near = np.unique(np.concatenate([own, before]))
+        self._enter(near[self.merge[near] != NONE], heap)
+
+    def _after_lower(self, replay: Replay, rank: int, own: np.ndarray) -> np.ndarray | None:
+        """The place in each word at which a lower merge arises, or None if nowhere.
+
+        At that time places to the left are merged and places to the right are not.
+        """
+        gone, before = self.right[own], self.left[own]
+        made = np.full(len(own), rank)
+        left = self.token[before]
+        left[1:][before[1:] == gone[:-1]] = rank
+        arises = np.minimum(
+            replay._merge(made, self.token[self.right[gone]]), replay._merge(left, made)
+        )
+        bad = own[arises < rank]
+        if not len(bad):
+            return None
+        last = np.full(self.word[-1] + 1, len(self.token))
+        np.minimum.at(last, self.word[bad], bad)
+        return last
 
     def _put(self, rank: int, at: np.ndarray, heap: list[int]) -> None:
-        self.places[rank] = [at]
-        heappush(heap, rank)
+        if len(at):
+            self.places[rank] = [at]
+            heappush(heap, rank)
 
 
 class Replay:

@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattfold.llm.common import id_and_text, slabs, stored
-from wattfold.llm.pretokens import ranks
+from wattfold.llm.pretokens import ranks, split, word_encoding
 
 CAPACITY = 2048
 #: Pieces that one task packs together. A shard ends with about one underfull sequence
 #: more than a single large one would.
 SHARD_PIECES = 20_000
+#: Code points beyond which a text is encoded word by word.
+LONG_TEXT = 1 << 18
 SPECIAL = {"<|endoftext|>": 50256}
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -37,6 +39,16 @@ def _encoding(path: str) -> tiktoken.Encoding:
     )
 
 
+def _long_ids(text: str, path: str) -> list[int]:
+    """The same ids, word by word: no run of blanks is too long for it."""
+    words, ids = word_encoding(path), []
+    for n, part in enumerate(text.split("<|endoftext|>")):
+        ids += [SPECIAL["<|endoftext|>"]] * (n > 0)
+        for word in split(part):
+            ids += words.encode_ordinary(word)
+    return ids
+
+
 def token_pieces(docs: DataFrame, rank_file: str, capacity: int = CAPACITY) -> DataFrame:
     """A row per piece of at most ``capacity`` tokens; the ids themselves stay in the task.
 
@@ -51,12 +63,12 @@ def token_pieces(docs: DataFrame, rank_file: str, capacity: int = CAPACITY) -> D
         for doc_ids, texts in slabs(batches):
             whose, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(texts):
-                special = "<|endoftext|>" in text
-                ids = (
-                    encoding.encode(text, allowed_special="all")
-                    if special
-                    else encoding.encode_ordinary(text)
-                )
+                if len(text) > LONG_TEXT:
+                    ids = _long_ids(text, rank_file)
+                elif any(mark in text for mark in SPECIAL):
+                    ids = encoding.encode(text, allowed_special="all")
+                else:
+                    ids = encoding.encode_ordinary(text)
                 ids.append(0)
                 data = memoryview(np.array(ids, "<u4")).cast("B")
                 a = 0

@@ -56,3 +56,14 @@ def ranks(path: str) -> dict[bytes, int]:
     """Token bytes and their rank, from a rank file."""
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+@cache
+def word_encoding(path: str) -> tiktoken.Encoding:
+    """Encodes one pre-token at a time, of any length.
+
+    The library's engine runs out of stack where the public pattern meets a million blanks.
+    """
+    return tiktoken.Encoding(
+        "word", pat_str=r"(?s).+", mergeable_ranks=ranks(path), special_tokens={}
+    )

@@ -7,13 +7,11 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame
 
 from wattfold.llm.common import id_and_text, slabs
-from wattfold.llm.pretokens import ranks, split
+from wattfold.llm.pretokens import split, word_encoding
 
 #: Distinct pre-tokens that a worker remembers from slab to slab. Beyond it, the table is
 #: begun anew; the counts don't change.
@@ -25,12 +23,7 @@ class _Pieces(dict):
     """Pieces of a pre-token, counted when it is met first."""
 
     def __init__(self, rank_file: str):
-        self.encoding = tiktoken.Encoding(
-            "counts",
-            pat_str=public_tokenizers.PATTERN,
-            mergeable_ranks=ranks(rank_file),
-            special_tokens={},
-        )
+        self.encoding = word_encoding(rank_file)
 
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self.encoding.encode_ordinary(word))
