@@ -5,7 +5,7 @@ passages, packing. Each stage's rows are written and read again as the next one'
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattfold.llm.common import stored
@@ -13,6 +13,10 @@ from wattfold.llm.minhash import near_duplicates
 from wattfold.llm.packing import pack_documents
 from wattfold.llm.quality import quality_verdicts
 from wattfold.llm.substring_dedup import substring_dedup
+from wattfold.scratch import own_scratch, scratch_dir
+
+#: Words of a shingle in the near-duplicate stage.
+SHINGLE_WORDS = 5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,14 +27,28 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest doc_id.
 
-    Of rows that share a doc_id the one with the smallest text stays. Rows without a
-    doc_id belong to no group and stay.
+    Every row is judged by its own text: rows that share a doc_id, or have none, are
+    documents of their own. So only rows that are linked with a row that stays, or with one
+    that leads there, go; exact repeats are. In a group a missing doc_id comes last, and
+    rows of one id go by where they are read. Texts without words are linked with nothing.
     """
-    dropped = near_duplicates(docs).where(~F.col("kept")).select("doc_id")
-    own = docs.where("doc_id IS NOT NULL").join(dropped, "doc_id", "left_anti")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    own = own.withColumn("nth", nth).where("nth = 1").select(docs.columns)
-    return own.union(docs.where("doc_id IS NULL"))
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("key"), F.struct(*docs.columns).alias("row")
+    )
+    rows = stored(rows)
+    texts = rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text"))
+    found = near_duplicates(texts, width=SHINGLE_WORDS)
+    found = stored(found.select(F.col("doc_id").alias("key"), "component_id"))
+    # A group's rows but for the representative; only groups of two and more have such.
+    linked = found.where("key != component_id")
+    first = linked.select("component_id").distinct()
+    linked = linked.union(first.select(F.col("component_id").alias("key"), "component_id"))
+    ids = rows.select("key", F.col("row.doc_id").alias("doc_id"))
+    linked = stored(linked.join(ids, "key"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    kept = linked.groupBy("component_id").agg(F.min_by("key", order).alias("key")).select("key")
+    dropped = linked.select("key").join(kept, "key", "left_anti")
+    return rows.join(dropped, "key", "left_anti").select("row.*")
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +78,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of a folder.
+
+    A stage's scratch goes when its rows are written, and they go when the next one's are.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        path = scratch_dir(spark)
+        with own_scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            schema = out.schema
+            out.write.parquet(path)
+        docs = spark.read.schema(schema).parquet(path)
+        if before:
+            gone = spark._jvm.org.apache.hadoop.fs.Path(before)
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
