@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from tests.llm.fixtures import documents, no_documents, unique_documents, words
 from wattfold.llm import minhash
 from wattfold.llm.components import components
@@ -130,11 +131,12 @@ def test_a_shard_takes_fragments_of_a_repeated_row_as_one():
     assert list(zip(fragment.tolist(), offset.tolist(), strict=True)) == [(1, 0)]
 
 
-def brute_components(docs, percent=80):
+def brute_components(docs, percent=80, width=2):
     sets = {}
     for i, text in docs:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-        sets[i] = set(zip(w, w[1:], strict=False)) if len(w) > 1 else {tuple(w)} if w else set()
+        own = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)}
+        sets[i] = own or ({tuple(w)} if w else set())
     root = {i: i for i in sets}
 
     def find(x):
@@ -241,7 +243,7 @@ def test_pipeline(spark):
         assert out.columns == docs.columns
         rows = {r.doc_id: r.text for r in out.collect()}
         if name == "near_dedup":
-            want = brute_components(list(before.items()))
+            want = brute_components(list(before.items()), width=5)
             assert set(rows) == {i for i, x in want.items() if x[2]}
         elif name == "suffix_array_dedup":
             want = brute_repeats([(i, t or "") for i, t in before.items()], 100)
@@ -262,3 +264,41 @@ def test_pipeline_stages_with_odd_rows(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR).count() > 0
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, no_documents(spark), SF_DIR).count() == 0
+
+
+def test_near_dedup_judges_every_text(spark):
+    """Rows that share an id or have none, and pairs between two-word and five-word links."""
+    base, other, third = words(50, 200), words(51, 150), words(52, 90)
+    few, many = base.split(), base.split()
+    for i in range(3):
+        few[10 + 60 * i] = f"few{i}"
+    for i in range(9):
+        many[5 + 20 * i] = f"many{i}"
+    few, many = " ".join(few), " ".join(many)
+    pairs = [(0, base), (1, many)]
+    assert not brute_components(pairs)[0] == brute_components(pairs)[1] and brute_components(pairs)[1][1] == 0
+    assert brute_components(pairs, width=5)[1][1] == 1
+    rows = [(3, base), (3, other), (3, other), (5, few), (6, many), (7, third), (7, base), (None, third), (None, words(53, 80))]
+    rows += [(2, few), (9, ""), (9, None), (9, "short text"), (10, "Short  text")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = corpus_pipeline.near_dedup(spark, docs.withColumn("key", F.lit(1)), "")
+    assert got.columns == [*docs.columns, "key"]
+    got = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    want = [(2, few), (3, other), (6, many), (7, third), (None, words(53, 80)), (9, ""), (9, None), (9, "short text")]
+    assert got == sorted(want, key=str)
+    # Judged one by one: each text under a number of its own, in the order of ids.
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i))
+    found = brute_components([(n, rows[i][1]) for n, i in enumerate(order)], width=5)
+    assert got == sorted((rows[i] for n, i in enumerate(order) if found[n][2]), key=str)
+
+
+def test_pipeline_frees_its_scratch(spark):
+    import os
+
+    from wattfold.scratch import scratch_dir
+
+    top = os.path.dirname(scratch_dir(spark))
+    before = set(os.listdir(top))
+    assert corpus_pipeline.run(spark, SF_DIR).count() > 0
+    # What is left: the last stage's input and its pieces.
+    assert len(set(os.listdir(top)) - before) <= 2
