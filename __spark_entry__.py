@@ -31,11 +31,19 @@ from wattfold.sources import (
 try:
     from wattfold.llm import queries as llm
 except ImportError as e:
-    # Only the absence of the subpackage, or of what belongs to it, is passed over.
-    if e.name not in ("wattfold.llm", "wattfold.llm.queries", "corpus_pipeline"):
+    # Only the absence of the subpackage is passed over.
+    if e.name not in ("wattfold.llm", "wattfold.llm.queries"):
         raise
     llm = None
 
+try:
+    import corpus_pipeline
+except ImportError as e:
+    # It belongs to the subpackage, and the pair may be absent together or each alone.
+    if e.name != "corpus_pipeline" and not (e.name or "").startswith("wattfold.llm"):
+        raise
+    corpus_pipeline = None
+
 EVENTS = (
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
     "value double, props string"
@@ -245,7 +253,8 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _own_queries() | (llm.queries() if llm else {})
+    added = {"pipeline": corpus_pipeline.run} if corpus_pipeline else {}
+    return _own_queries() | (llm.queries() if llm else {}) | added
 
 
 def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -380,7 +389,9 @@ def _long_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return _own_oracle_sql() | (llm.oracle_sql() if llm else {})
+    added = corpus_pipeline.ORACLE_SQL if corpus_pipeline else None
+    added = {"pipeline": added} if added else {}
+    return _own_oracle_sql() | (llm.oracle_sql() if llm else {}) | added
 
 
 def _own_oracle_sql() -> dict[str, str]:
