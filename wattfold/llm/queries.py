@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattfold.llm.bpe_codec import encode_decode
-from wattfold.llm.chat import chat_digests, format_chat, turn_rows
+from wattfold.llm.chat import chat_digests, format_chat
+from wattfold.llm.chat_records import record_turns
 from wattfold.llm.divergence import source_divergences
 from wattfold.llm.licenses import scan_licenses
 from wattfold.llm.maxent import score_documents
@@ -59,7 +60,9 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(hard).alias("text"),
     )
     own = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    turns = turn_rows(own.unionByName(added), "conv_id")
+    # Each row is a record of one turn; its fingerprint selects the mapping.
+    record = F.to_variant_object(F.struct("turn", "role", "text"))
+    turns = record_turns(own.unionByName(added), "conv_id", record)
     return chat_digests(format_chat(turns))
 
 
