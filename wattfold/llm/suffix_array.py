@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Symbols of a string per symbol of its alphabet from which buckets induce as arrays.
+BUCKET = 2048
+#: Entries that a round should have on the whole.
+ROUND = 64
+
 
 def _types(s: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the one after it. The last is larger."""
@@ -29,9 +34,12 @@ def _induce(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, k: int) -> np.n
     """All suffixes, induced from the leftmost-smaller ones in the given order.
 
     Larger suffixes from left to right, then smaller ones from right to left. A bucket's
-    entries induce together; those that fall into the same bucket form its next round.
+    entries induce together; those that fall into the same bucket form its next round. Long
+    periods make rounds of a few entries; past a share of the string's length the entries
+    go one by one, so the time stays linear.
     """
     n = len(s)
+    rounds = 2 * k + n // ROUND
     counts = np.bincount(s, minlength=k)
     ends = np.cumsum(counts)
     begins = ends - counts
@@ -48,6 +56,9 @@ def _induce(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, k: int) -> np.n
     for c in np.flatnonzero(counts):
         done = begins[c]
         while done < heads[c]:
+            rounds -= 1
+            if not rounds:
+                return _induce_by_one(s, smaller, lms, k)
             fresh, done = sa[done : heads[c]], heads[c]
             _append(sa, s, before(fresh, False), heads, 1)
         _append(sa, s, before(sa[tails[c] + 1 : ends[c]], False), heads, 1)
@@ -55,50 +66,61 @@ def _induce(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, k: int) -> np.n
     for c in np.flatnonzero(counts)[::-1]:
         done = ends[c] - 1
         while done > tails[c]:
+            rounds -= 1
+            if not rounds:
+                return _induce_by_one(s, smaller, lms, k)
             fresh, done = sa[tails[c] + 1 : done + 1][::-1], tails[c]
             _append(sa, s, before(fresh, True), tails, -1)
         _append(sa, s, before(sa[begins[c] : heads[c]][::-1], True), tails, -1)
     return sa
 
 
-def _ranks_by_doubling(names: np.ndarray) -> np.ndarray:
-    """Order of all suffixes of a string over many symbols; only ties are sorted again."""
-    n, h = len(names), 1
-    order = np.argsort(names, kind="stable")
-    rank = np.searchsorted(names[order], names)  # of the first of its ties
-    tied = np.arange(n)
-    while True:
-        own = rank[order[tied]]
-        alone = np.append(True, own[1:] != own[:-1])
-        alone &= np.append(alone[1:], True)
-        tied = tied[~alone]
-        if not len(tied):
-            return order
-        i = order[tied]
-        ahead = np.where(i + h < n, rank[np.minimum(i + h, n - 1)], -1)
-        by = np.argsort(rank[i] * (n + 1) + ahead + 1)
-        i, ahead = i[by], ahead[by]
-        order[tied] = i
-        fresh = np.append(True, (rank[i[1:]] != rank[i[:-1]]) | (ahead[1:] != ahead[:-1]))
-        rank[i] = tied[fresh][np.cumsum(fresh) - 1]
-        h *= 2
+def _induce_by_one(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
+    """The same for a string of many symbols, whose buckets are too small to go together."""
+    counts = np.bincount(s, minlength=k)
+    ends = np.cumsum(counts)
+    symbol, kind = s.tolist(), smaller.tolist()
+    sa = [-1] * len(symbol)
+    tails, heads = (ends - 1).tolist(), (ends - counts).tolist()
+    for i in reversed(lms.tolist()):
+        c = symbol[i]
+        sa[tails[c]] = i
+        tails[c] -= 1
+    last = len(symbol) - 1
+    sa[heads[symbol[last]]] = last
+    heads[symbol[last]] += 1
+    # Entries are read as they are written: each induces the suffix before it.
+    for i in sa:
+        if i > 0 and not kind[i - 1]:
+            c = symbol[i - 1]
+            sa[heads[c]] = i - 1
+            heads[c] += 1
+    tails = (ends - 1).tolist()
+    for at in range(last, -1, -1):
+        i = sa[at]
+        if i > 0 and kind[i - 1]:
+            c = symbol[i - 1]
+            sa[tails[c]] = i - 1
+            tails[c] -= 1
+    return np.array(sa, np.int64)
 
 
 def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
     """Suffix array of symbols 0 to k - 1, in time linear in the string.
 
     Suffixes are classified; the substrings between leftmost-smaller positions are sorted
-    by one induction and named; where names repeat, the string of names is sorted, by
-    this function again while its names are few, else by doubling; a second induction
-    sorts all suffixes.
+    by one induction and named; where names repeat, the string of names, at most half as
+    long, is sorted by this function again; a second induction sorts all suffixes.
     """
     n = len(s)
     if n < 2:
         return np.arange(n)
     smaller = _types(s)
     lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    # Large buckets induce as arrays. Both ways take a fixed time per symbol.
+    induce = _induce if len(s) >= BUCKET * k else _induce_by_one
     if len(lms) > 1:
-        sa = _induce(s, smaller, lms, k)
+        sa = induce(s, smaller, lms, k)
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
         order = sa[is_lms[sa]]
@@ -111,11 +133,9 @@ def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
         names = np.empty(len(lms), np.int64)
         names[nth] = name
         if name[-1] < len(lms) - 1:
-            few = name[-1] < 1024 and len(lms) > 4096
-            by_name = suffix_array(names, name[-1] + 1) if few else _ranks_by_doubling(names)
-            order = lms[by_name]
+            order = lms[suffix_array(names, name[-1] + 1)]
         lms = order
-    return _induce(s, smaller, lms, k)
+    return induce(s, smaller, lms, k)
 
 
 def _same_substrings(s, smaller, order, length):
