@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattfold.llm.common import stored
@@ -16,8 +16,16 @@ def components(links: DataFrame) -> DataFrame:
     reads the stored table of the last. A node with very many links costs one row per
     task after partial aggregation.
     """
-    both = links.select("a", "b").union(links.select("b", "a")).where("a != b").distinct()
-    both = stored(both)
+    # A node keeps the link to its least neighbour; its other smaller neighbours are linked
+    # with that one instead. They are few, so what many nodes say of them is said once.
+    own = links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = F.min("b").over(Window.partitionBy("a")).alias("least")
+    own = own.distinct().select("a", "b", least)
+    own = own.select("a", F.col("least").alias("b")).union(
+        own.where("b != least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    )
+    own = own.distinct()
+    both = stored(own.union(own.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = stored(
         both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label"))
     )
