@@ -3,7 +3,15 @@
 from __future__ import annotations
 
 from wattfold.llm.chat import CLOSE, END, OPEN, TRAINED_ROLE
-from wattfold.llm.licenses import LEAST_SHARE, PHRASES, TEMPLATES, WORD
+from wattfold.llm.licenses import (
+    LEAST_PERCENT,
+    LEAST_SHARE,
+    PHRASES,
+    SHIFT,
+    TEMPLATES,
+    TEXT_TEMPLATES,
+    WORD,
+)
 
 _SPACED = r"[^\x20\x09-\x0D]+"
 _LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -103,13 +111,32 @@ def _licenses() -> str:
         keys = f"list_filter(range(len(words)), lambda s: {_stand('s', t.key)})"
         best = f"list_max(list_transform({keys}, lambda s: {found}))"
         shares.append(f"coalesce({best}, 0) / CAST({len(t.words)} AS DOUBLE) AS share{k}")
+    for k, t in enumerate(TEXT_TEMPLATES):
+        n = len(t.words)
+        own = "[" + ", ".join(f"'{w}'" for w in t.words) + "]"
+        # s is where the text starts, i a place in it.
+        around = (
+            f"list_slice(words, greatest(s + i - {SHIFT}, 0) + 1, "
+            f"greatest(s + i + {SHIFT + 1}, 0))"
+        )
+        found = f"len(list_filter(range({n}), lambda i: list_contains({around}, {own}[i + 1])))"
+        keys = f"list_filter(range(len(words)), lambda p: {_stand('p', t.key)})"
+        starts = f"list_transform({keys}, lambda p: p - {t.key_at})"
+        best = f"coalesce(list_max(list_transform({starts}, lambda s: {found})), 0)"
+        shares.append(
+            f"CASE WHEN 100 * {best} >= {LEAST_PERCENT * n} THEN {best} ELSE 0 END "
+            f"/ CAST({n} AS DOUBLE) AS text{k}"
+        )
     base = [f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, (label, _) in enumerate(PHRASES)]
     own = [
         f"CASE WHEN share{k} >= {LEAST_SHARE} THEN '{t.label}' END" for k, t in enumerate(TEMPLATES)
     ]
+    own += [f"CASE WHEN text{k} > 0 THEN '{t.label}' END" for k, t in enumerate(TEXT_TEMPLATES)]
     listed = "array_to_string(list_sort(list_distinct([{}])), ',')"
     every = " || ".join(f"p{k}" for k in range(len(PHRASES)))
-    best = f"greatest({', '.join(f'share{k}' for k in range(len(TEMPLATES)))})"
+    columns = [f"share{k}" for k in range(len(TEMPLATES))]
+    columns += [f"text{k}" for k in range(len(TEXT_TEMPLATES))]
+    best = f"greatest({', '.join(columns)})"
     return f"""
 WITH w AS (
     SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{WORD}') AS words
