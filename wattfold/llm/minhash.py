@@ -23,11 +23,16 @@ WORDS, PERCENT = 2, 80
 #: A component of a pair at the threshold differs with probability 0.2; then the chance
 #: that no chunk is that close is (1 - 0.8**5 - 5 * 0.2 * 0.8**4) ** 10 = 1.6e-6.
 CHUNKS, CHUNK, ERRORS = 10, 5, 1
+#: Pairs whose signatures differ in more components aren't compared on full sets. A pair at
+#: the threshold differs in more with probability 1.1e-7, a fifteenth of the chance above.
+FAR = 26
 #: Members of a bucket that are compared with each other as pairs. In larger ones they are
 #: compared by their differences from the bucket's first member, in blocks of so many
 #: members that aren't linked with it and of so many others.
 SMALL = 16
 APART, OTHERS, COLUMNS = 512, 4096, 2048
+#: Differences of a block's members and of its others, on average over a bucket's blocks.
+APART_ENTRIES, OTHERS_ENTRIES = 1 << 20, 1 << 22
 
 _DROPPED = list(combinations(range(CHUNK), ERRORS))
 
@@ -200,6 +205,30 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(_confirm(percent), CONFIRMED)
 
 
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose signatures ``x`` and ``y`` differ in at most ``FAR`` components."""
+    for batch in batches:
+        x, y = (
+            np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16) for i in (3, 4)
+        )
+        distance = np.count_nonzero((x != y).reshape(-1, CHUNKS * CHUNK), axis=1)
+        kept = batch.filter(pa.array(distance <= FAR))
+        yield kept.select(["a", "b", "large"])
+
+
+def _within_distance(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs without those far apart by signatures; ``large`` ones all stay.
+
+    Signatures have a fixed size and travel before any set does. Members of large buckets
+    need their differences from the first, however far they are from it.
+    """
+    a = classes.select(F.col("rep").alias("a"), F.col("signature").alias("x"))
+    b = classes.select(F.col("rep").alias("b"), F.col("signature").alias("y"))
+    rows = pairs.where("NOT large").join(a, "a").join(b, "b").select("a", "b", "large", "x", "y")
+    near = rows.mapInArrow(_near, "a bigint, b bigint, large boolean")
+    return pairs.where("large").select("a", "b", "large").union(near)
+
+
 def _shared(x: pa.Table, y: pa.Table) -> np.ndarray:
     """How many differences each row of one table has in common with each of the other."""
     parts = []
@@ -278,20 +307,22 @@ def _spanning(linked: np.ndarray, x: np.ndarray, y: np.ndarray) -> set[tuple[int
     return pairs
 
 
-def _by_differences(stars: DataFrame, percent: int) -> DataFrame:
-    """Links in large buckets of members that aren't linked with the bucket's first.
+def _parts(rows, members: int, entries: int):
+    """Blocks that a bucket's rows of a kind need, by their number and their differences."""
+    n = F.ceil(F.count_if(rows) / members)
+    size = F.ceil(F.sum(F.when(rows, F.size("differences"))) / entries)
+    return F.greatest(n, size).cast("int")
 
-    Those members meet all others that were compared with the same first, in blocks: a
-    block of them and one of the others are a group, so a very large bucket splits over
-    tasks. What members have in common follows from their differences from the first,
-    which are few where texts are alike, so no pairs and no sets travel.
-    """
+
+def _blocks(stars: DataFrame) -> DataFrame:
+    """Rows of the blocks ``b, x, y``: members apart from the first, and all others."""
     own = stars.where("differences IS NOT NULL")
     n = own.groupBy("b").agg(
-        F.ceil(F.count_if(~F.col("linked")) / APART).cast("int").alias("xs"),
-        F.ceil(F.count(F.lit(1)) / OTHERS).cast("int").alias("ys"),
+        F.count_if(~F.col("linked")).alias("n"),
+        _parts(~F.col("linked"), APART, APART_ENTRIES).alias("xs"),
+        _parts(F.lit(True), OTHERS, OTHERS_ENTRIES).alias("ys"),
     )
-    own = own.join(stored(n.where("xs > 0")), "b")
+    own = own.join(stored(n.where("n > 0").drop("n")), "b")
     x = F.pmod(F.xxhash64("a"), F.col("xs")).cast("int")
     y = F.pmod(F.xxhash64("a"), F.col("ys")).cast("int")
     columns = ["a", "b", "size", "lost", "added", "differences"]
@@ -307,7 +338,20 @@ def _by_differences(stars: DataFrame, percent: int) -> DataFrame:
         F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("x"),
         y.alias("y"),
     ).select(apart.columns)
-    blocks = apart.union(others).groupBy("b", "x", "y")
+    return apart.union(others)
+
+
+def _by_differences(stars: DataFrame, percent: int) -> DataFrame:
+    """Links in large buckets of members that aren't linked with the bucket's first.
+
+    Those members meet all others that were compared with the same first, in blocks: a
+    block of them and one of the others are a group, so a very large bucket splits over
+    tasks. What members have in common follows from their differences from the first,
+    which are few where texts are alike, so no pairs and no sets travel. Long texts that
+    share little with the first have long differences; a bucket of such has more blocks,
+    so that a block stays within ``APART_ENTRIES`` and ``OTHERS_ENTRIES`` on average.
+    """
+    blocks = _blocks(stars).groupBy("b", "x", "y")
     return blocks.applyInArrow(_links_of_block(percent), "a bigint, b bigint")
 
 
@@ -318,9 +362,10 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     Those with equal sets are a class with one representative, so copies meet once. The
     keys of representatives' signatures form buckets, and a bucket's members are compared
     with its first. Of the pairs that are left, those in a bucket of up to ``SMALL`` are
-    compared unless they are connected already; those in larger ones by their full
-    differences from the first, see ``_by_differences``. So no link in a bucket is lost,
-    and each is confirmed on full sets.
+    compared if their signatures are near and they aren't connected already; those in
+    larger ones by their full differences from the first, see ``_by_differences``. So no
+    link in a bucket is lost but by the chance named at ``FAR``, and each is confirmed on
+    full sets.
 
     A null or empty text, or one without words, has an empty set and is linked with
     nothing. Rows that share a doc_id are one document; of different texts the one whose
@@ -358,7 +403,8 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     size = stored(size)
     stars = members.join(size, bucket).where("rep != b")
     stars = stars.groupBy(F.col("rep").alias("a"), "b").agg(F.max("large").alias("large"))
-    stars = stored(_confirmed(stored(stars), sets, percent))
+    stars = stored(_within_distance(stored(stars), classes))
+    stars = stored(_confirmed(stars, sets, percent))
     near_first = stars.where("linked").select("a", "b")
     links = stored(near_first.union(_by_differences(stars, percent)))
     label = components(links).withColumnRenamed("node", "rep")
@@ -370,7 +416,8 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     other = small.select(*bucket, F.col("rep").alias("b"), F.col("own").alias("its"))
     pairs = small.withColumnRenamed("rep", "a").join(other, bucket).where("own < its")
     pairs = pairs.select("a", "b").distinct().withColumn("large", F.lit(False))
-    more = _confirmed(stored(pairs), sets, percent).where("linked").select("a", "b")
+    pairs = stored(_within_distance(stored(pairs), classes))
+    more = _confirmed(pairs, sets, percent).where("linked").select("a", "b")
     joined = components(links.union(stored(more)))
     class_of = classes.join(joined, classes["rep"] == joined["node"], "left").select(
         "h1", "h2", F.col("n").alias("size"), F.coalesce("component", "rep").alias("component_id")
