@@ -74,19 +74,36 @@ WITH d AS (
 ), covered AS (
     SELECT r, count(DISTINCT p) AS n
     FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM tri JOIN twice USING (r, t)) GROUP BY r
+), pair AS (
+    SELECT r, max(n) AS n_top_pair
+    FROM (SELECT r, words[i] AS a, words[i + 1] AS b, count(*) AS n
+        FROM (SELECT r, words, unnest(range(1, len(words))) AS i FROM w) GROUP BY r, a, b)
+    GROUP BY r
+), chars AS (
+    SELECT r, regexp_extract_all(text, '(?s).') AS c FROM w
+), grams AS (
+    SELECT r, sum(n::HUGEINT * n) AS squares, sum(n)::HUGEINT AS places
+    FROM (SELECT r, c[i] || c[i + 1] || c[i + 2] AS g, count(*) AS n
+        FROM (SELECT r, c, unnest(range(1, len(c) - 1)) AS i FROM chars WHERE len(c) > 2)
+        GROUP BY r, g)
+    GROUP BY r
 ), m AS (
     SELECT doc_id, len(words) AS n_words,
         length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
         len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines,
-        coalesce(n, 0) AS n_repeat_words
-    FROM w LEFT JOIN covered USING (r)
+        coalesce(n, 0) AS n_repeat_words, coalesce(n_top_pair, 0) AS n_top_pair,
+        len(list_filter(words, lambda x: regexp_matches(x, '{_LETTERS}'))) AS n_lettered,
+        coalesce(squares, 0) AS squares, coalesce(places, 0) AS places
+    FROM w LEFT JOIN covered USING (r) LEFT JOIN pair USING (r) LEFT JOIN grams USING (r)
 ), b AS (
     SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     NOT (base_failed OR 5 * n_symbols > n_words OR 2 * n_dup_lines > n_lines
-        OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
+        OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+        OR 5 * n_lettered < 4 * n_words OR 10 * n_top_pair > n_words
+        OR 50 * squares > places * places) AS kept
 FROM b
 """
 
