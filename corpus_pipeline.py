@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wattfold.llm.common import stored
 from wattfold.llm.minhash import near_duplicates
 from wattfold.llm.packing import pack_documents
-from wattfold.llm.quality import quality_verdicts
+from wattfold.llm.quality import COMPRESSION, RULES, quality_verdicts
 from wattfold.llm.substring_dedup import substring_dedup
 from wattfold.scratch import own_scratch, scratch_dir
 
@@ -21,7 +21,8 @@ SHINGLE_WORDS = 5
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects."""
-    return quality_verdicts(docs, measured=False).where("kept").select(docs.columns)
+    found = quality_verdicts(docs, (*RULES, COMPRESSION), measured=False)
+    return found.where("kept").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
